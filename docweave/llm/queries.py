@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fingerprints import op1_fingerprints
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op9_mix_sources
 from .packing import op8_pack
+from .simhash import op2_simhash
 from .token_counts import op6_token_counts
+from .toxicity import op3_toxicity
 
 
 def _over_documents(operator):
@@ -16,6 +19,9 @@ def _over_documents(operator):
 
 def queries():
     return {
+        "op1_fingerprints": _over_documents(op1_fingerprints),
+        "op2_simhash": _over_documents(op2_simhash),
+        "op3_toxicity": lambda spark, sf_dir: op3_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op5_line_dedup": _over_documents(op5_line_dedup),
         "op6_token_counts": _over_documents(op6_token_counts),
         "op7_exact_dedup": _over_documents(op7_exact_dedup),
