@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null id in comparisons: a null id sorts after every other one.
@@ -104,3 +104,21 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     near = rows.join(heavy, key, "inner")
     far = rows.join(heavy.select(key), key, "left_anti").join(light, key, "left")
     return near.unionByName(far)
+
+
+def pick_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents, same columns, each as often as wanted says.
+
+    wanted: key (id_key), version (xxhash64 of the text, null as empty), times: rows to give for all rows of that key and
+    version together. Repeated rows share the times evenly.
+    """
+    names = docs.columns
+    version = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.struct(*names).alias("row"), id_key().alias("row_key"), version.alias("row_version"))
+    wanted = wanted.filter("times > 0").select(F.col("key").alias("k"), F.col("version").alias("v"), "times")
+    met = rows.join(wanted.hint("shuffle_hash"), (F.col("row_key") == F.col("k")) & (F.col("row_version") == F.col("v"))).drop("k", "v")
+    # The rows of a key and version are the same text: number them without sorting by more than the key.
+    w = Window.partitionBy("row_key", "row_version")
+    met = met.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("at", F.row_number().over(w.orderBy("row_key")))
+    own = F.floor(F.col("times") / F.col("copies")) + F.when(F.col("at") <= F.col("times") % F.col("copies"), 1).otherwise(0)
+    return met.withColumn("own", own.cast("int")).filter("own > 0").select(F.explode(F.array_repeat("row", F.col("own"))).alias("row")).select("row.*")

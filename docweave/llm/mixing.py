@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, session
+from .common import id_key, pick_rows, scratch, session
 
 BUCKET_ROWS = 4096
 MAX_EPOCHS = 3
@@ -98,8 +98,9 @@ def op9_mix_sources(docs: DataFrame) -> DataFrame:
 
 def take_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
     """The mixed documents, same columns: each row once per epoch that takes at least half of its words."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("mix__row"), "doc_id", "source", "text")
-    mixed = mix(packed, word_count(), ["mix__row", "doc_id"], seed)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.filter(times > 0).select(F.explode(F.array_repeat("mix__row", times)).alias("r")).select("r.*")
+    version = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version")
+    small = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), version)
+    mixed = mix(small, word_count(), ["doc_id", "version"], seed)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
+    wanted = mixed.groupBy(id_key().alias("key"), "version").agg(F.sum(times).alias("times"))
+    return pick_rows(docs, wanted)
