@@ -34,9 +34,11 @@ THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁɡαεοικνρτυɑ", "aeopcyxijshdgaeoiknptua", strict=True))
-DIGITS = dict(zip("013457@$!|", "oieastasii", strict=True))
+DIGITS = dict(zip("01345789@$!|", "oieastbgasii", strict=True))
 
-_MIXED = re.compile(r"[^\W_]*(?:[a-z][013457@$!|]+(?=[a-z])|(?<![^\W_])[013457@$]+[a-z]{2})[a-z0-9@$!|]*")
+_MIXED = re.compile(r"[^\W_]*(?:[a-z][01345789@$!|]+(?=[a-z])|(?<![^\W_])[01345789@$]+[a-z]{2})(?:[@$!|]*[a-z0-9])*")
+#: Every mixed word has a sign or digit before a letter.
+_HINT = re.compile(r"[01345789@$!|][a-z]")
 _BREAK = re.compile(r"[\W_]+")
 
 
@@ -56,14 +58,32 @@ def _read_digits(m: re.Match) -> str:
     return "".join(DIGITS.get(c, c) for c in m[0])
 
 
+def _spell(text: str) -> str:
+    """Read digits and signs as letters in those words that mix them; other words are not looked at twice."""
+    out, at = [], 0
+    for m in _HINT.finditer(text):
+        a, b = m.start(), m.end()
+        if a < at:
+            continue
+        while a > at and (text[a - 1].isalnum() or text[a - 1] in "@$!|"):
+            a -= 1
+        while b < len(text) and (text[b].isalnum() or text[b] in "@$!|"):
+            b += 1
+        out += [text[at:a], _MIXED.sub(_read_digits, text[a:b])]
+        at = b
+    return "".join(out) + text[at:] if out else text
+
+
 def fold(text: str) -> str:
-    """Folded words, each with a space before, and one space at the end; no words: one space."""
+    """Folded words, each with a space before, and one space at the end; no words: one space.
+
+    The sign 1 stands for both i and l, so these two are one letter in folded text.
+    """
     text = text.lower()
     if not text.isascii():
         text = text.translate(_letters())
-    if not text.replace(" ", "").isalpha():
-        text = _MIXED.sub(_read_digits, text)
-    return f" {_BREAK.sub(' ', text).strip()} ".replace("  ", " ")
+    text = _spell(text)
+    return f" {_BREAK.sub(' ', text).strip()} ".replace("  ", " ").replace("l", "i")
 
 
 def terms(folded: str) -> set[str]:
@@ -208,7 +228,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     pick = dict.fromkeys(r["entry"] for r in many.select("entry").collect())
     held = rows.mapInArrow(_count(pick, False), counted).groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= PRECISION * (F.col("t") + F.col("c"))).collect()
     toxic, clean = sizes[1], sizes.get(0, 0)
-    weights = {r["entry"]: log((r["t"] + 0.5) / (toxic + 1)) - log((r["c"] + 0.5) / (clean + 1)) for r in held}
+    # so many more toxic than clean documents that chance makes less than half an entry of all that were tried
+    rate = (toxic + 0.5) / (toxic + clean + 1)
+    surplus = min(log(2 * max(1, len(pick))) / log(1 / rate), toxic / 2)
+    weights = {r["entry"]: log((r["t"] + 0.5) / (toxic + 1)) - log((r["c"] + 0.5) / (clean + 1)) for r in held if r["t"] - r["c"] >= surplus}
     weights = {k: w for k, w in sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES] if w > 0}
     seen = {r["entry"]: r["t"] for r in held}
     # a beginning stands for a family of forms: it goes if one longer entry covers it, else all longer ones go
