@@ -181,7 +181,7 @@ def _paragraph_grams(line: Column, m: Model) -> Column:
     words = F.regexp_extract_all(F.regexp_replace(lower, _NUMBER, "0"), F.lit(f"({_WORD})"), F.lit(1))
     masked = F.array_join(F.transform(words, lambda w: F.when(w.isin(m.words), w).otherwise(F.lit(""))), " ")
     runs = F.filter(
-        F.transform(F.split(masked, "  +"), F.trim), lambda r: r.contains(" ") | r.isin(m.telling)
+        F.transform(F.split(masked, "  +"), lambda r: F.trim(r)), lambda r: r.contains(" ") | r.isin(m.telling)
     )
 
     def grams(r: Column) -> Column:
