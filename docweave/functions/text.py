@@ -36,7 +36,7 @@ def base_type(sql_type: Column) -> Column:
 
 def type_args(sql_type: Column) -> Column:
     inner = F.regexp_extract(sql_type, r"^\s*[A-Za-z_]+\s*\(([^)]*)\)", 1)
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sql_category(sql_type: Column) -> Column:

@@ -27,7 +27,7 @@ class Adjudicator(Protocol):
 class Deterministic:
     """The best candidate, if it reaches ``floor``, with its score and margin as confidence."""
 
-    def __init__(self, floor: float = 0.30):
+    def __init__(self, floor: float = 0.25):
         self.floor = floor
 
     def answer(self, questions: DataFrame, stage: str) -> DataFrame:
