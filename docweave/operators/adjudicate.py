@@ -51,7 +51,7 @@ class Replay:
         self.records, self.strict = records, strict
 
     def answer(self, questions: DataFrame, stage: str) -> DataFrame:
-        own = self.records.filter(F.col("stage") == stage).drop("stage")
+        own = self.records.filter(F.col("stage") == stage).drop("stage").withColumn("name", F.substring_index("name", ".", -1))
         if self.strict and (lost := questions.join(own, ["table", "name"], "left_anti").select("table", "name").first()):
             raise LookupError(f"no recorded answer of stage {stage} for {lost['table']}.{lost['name']}")
         return own.join(questions.select("table", "name"), ["table", "name"], "left_semi").select(*_NAMES)
