@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,17 @@ ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "vs.", "approx.", "cf.", "ca.", "no.",
 NO_MATCH = ("", "null", "none", "n/a", "no match", "-")
 
 
+def literal_map(table: dict, kind: str) -> Column:
+    """A small table as one map<string, kind> literal: parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")
+
+
 def lookup(key: Column, table: dict, default: Column) -> Column:
-    """table[key] by a literal map, else default."""
+    """table[key] by a literal map, else default. Values are all strings or all doubles."""
     if not table:
         return default
-    literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(literal, key), default)
+    kind = "string" if all(isinstance(v, str) for v in table.values()) else "double"
+    return F.coalesce(F.try_element_at(literal_map(table, kind), key), default)
 
 
 def split_identifier(name: Column) -> Column:

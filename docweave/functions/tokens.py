@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.text import split_identifier
+from docweave.functions.text import literal_map, split_identifier
 from docweave.sources.knowledge import Knowledge
 
 
 def _expand(key: Column, table: dict[str, list[str]], default: Column) -> Column:
     if not table:
         return default
-    literal = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.try_element_at(literal, key), default)
+    return F.coalesce(F.try_element_at(literal_map(table, "array<string>"), key), default)
 
 
 def core_tokens(name: Column, pack: Knowledge) -> Column:
