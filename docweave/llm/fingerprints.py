@@ -13,11 +13,12 @@ import hashlib
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_key, partitions, session, texts
 
@@ -137,8 +138,8 @@ def _inside(batches):
 
 
 def _ends(batches):
-    """The first and the last document of a sorted partition."""
-    part, first, last = TaskContext.get().partitionId(), None, None
+    """The first and the last document of a sorted range."""
+    first, last = None, None
     for batch in batches:
         if batch.num_rows:
             if first is None:
@@ -146,7 +147,7 @@ def _ends(batches):
             last = batch.slice(batch.num_rows - 1, 1)
     if first is not None:
         for kind, row in (("first", first), ("last", last)):
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([kind]), row.column("doc_id"), row.column("text")], names=["part", "kind", "doc_id", "text"])
+            yield pa.record_batch([row.column("part"), pa.array([kind]), row.column("doc_id"), row.column("text")], names=["part", "kind", "doc_id", "text"])
 
 
 def _pairs(batches):
@@ -157,22 +158,37 @@ def _pairs(batches):
         )
 
 
+def key_ranges(keys: DataFrame, count: int) -> list[int]:
+    """Up to count - 1 bounds that cut the column key into ranges of about as many rows."""
+    cuts = [k / count for k in range(1, count)]
+    if not cuts:
+        return []
+    return sorted(set(keys.select(F.percentile_approx("key", cuts, 20 * count)).first()[0] or []))
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, which ends with the beginning of the next document's text.
 
-    Documents are range-partitioned and sorted by doc_id, so neighbours meet in one stream; only the first and last
-    text of each partition meet those of the next one in a join with a row per partition. A null text is empty, a null
-    doc_id sorts last, repeated rows follow one another; one document alone follows itself. An empty table gives an
-    empty result. Other columns are ignored.
+    Ranges of doc_id are dealt to partitions and sorted, so neighbours meet in one stream; only the first and last text
+    of each range meet those of the next one in a join with a row per range. The bounds are worked out once, from the
+    ids alone: both passes and any retried task see the same ranges. A null text is empty, a null doc_id sorts last,
+    repeated rows follow one another; one document alone follows itself. An empty table gives an empty result. Other
+    columns are ignored.
     """
     spark = session(docs)
     rows = texts(docs).select("doc_id", "text", id_key().alias("key"))
-    # A fixed number of partitions: both passes below must see the same ones.
-    ordered = rows.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "text")
+    count = partitions(spark)
+    bounds = np.array(key_ranges(rows.select("key"), count), "i8")
+
+    @F.pandas_udf(T.LongType())
+    def range_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
+
+    ordered = rows.withColumn("part", range_of("key")).repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("key", "text")
     main = ordered.mapInArrow(_inside, _OUT)
     ends = ordered.mapInArrow(_ends, "part long, kind string, doc_id long, text string")
     firsts, lasts = (ends.filter(F.col("kind") == k).drop("kind") for k in ("first", "last"))
-    # A row per partition, no texts: which partition with documents comes next (after the last: the first).
+    # A row per range, no texts: which range with documents comes next (after the last: the first).
     ring = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.partitionBy(F.lit(0))).alias("least"))
     ring = ring.select("part", F.coalesce("next", "least").alias("next"))
     joined = lasts.join(ring, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("next_text")), "next")
