@@ -31,6 +31,8 @@ LEAST, PRECISION = 3, 0.9
 ENTRIES = 20_000
 STEM = range(4, 8)
 THRESHOLD = 0.3
+#: Greatest score of a text without a match.
+NO_MATCH = 0.2
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁɡαεοικνρτυɑ", "aeopcyxijshdgaeoiknptua", strict=True))
@@ -132,9 +134,12 @@ class Lexicon:
         return log1p(total), log1p(10 * total / (folded.count(" ") + 4) ** 0.5), log1p(len(found))
 
     def score(self, text: str | None) -> float:
+        """0 to 1. A text without a match stays below THRESHOLD, however common toxic documents are in the sample."""
         bias, *by = self.scale
-        x = bias + sum(w * f for w, f in zip(by, self.features(fold(text or "")), strict=True))
-        return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
+        found = self.features(fold(text or ""))
+        x = bias + sum(w * f for w, f in zip(by, found, strict=True))
+        chance = 1 / (1 + exp(-max(-30.0, min(30.0, x))))
+        return chance if any(found) else min(chance, NO_MATCH)
 
 
 def fold_of() -> Column:
