@@ -165,7 +165,10 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, distance: int = DISTANCE) ->
     return union.label
 
 
-def _links(distance: int):
+def _links(distance: int, limit: int):
+    def marker(bucket, rows):
+        return pa.record_batch([pa.array([bucket], pa.int64()), pa.array([rows], pa.int64()), pa.array([True])], names=["u", "v", "hot"])
+
     def edges(bucket, node, fp):
         new = np.append(True, bucket[1:] != bucket[:-1])
         several = ~(new & np.append(new[1:], True))
@@ -176,49 +179,69 @@ def _links(distance: int):
         moved = ends != np.arange(len(fp))
         if not moved.any():
             return None
-        return pa.record_batch([pa.array(node[moved]), pa.array(node[ends[moved]])], names=["u", "v"])
+        return pa.record_batch([pa.array(node[moved]), pa.array(node[ends[moved]]), pa.array([False] * int(moved.sum()))], names=["u", "v", "hot"])
 
     def run(batches):
-        held, count = [], 0
-
-        def arrays():
-            return [np.concatenate(x) for x in zip(*held, strict=True)]
+        held, count = [], 0  # rows of whole buckets and of the one that is still coming in
+        hot, seen = None, 0  # a bucket of more than ``limit`` rows, and how many so far: left to further rounds
 
         for batch in batches:
             words = [c for c in batch.schema.names if c[0] == "w"]
             column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            held.append((column("bucket"), column("node"), np.column_stack([column(c) for c in words]).view("u8")))
-            count += batch.num_rows
-            if count >= ROWS:
-                bucket, node, fp = arrays()
+            bucket, node, fp = column("bucket"), column("node"), np.column_stack([column(c) for c in words]).view("u8")
+            if hot is not None:
+                more = int(np.argmax(bucket != hot)) if (bucket != hot).any() else len(bucket)
+                seen += more
+                if more == len(bucket):
+                    continue
+                yield marker(hot, seen)
+                hot, bucket, node, fp = None, bucket[more:], node[more:], fp[more:]
+            held.append((bucket, node, fp))
+            count += len(bucket)
+            if count >= limit:
+                bucket, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[-1])  # the last bucket may go on
                 if cut and (found := edges(bucket[:cut], node[:cut], fp[:cut])) is not None:
                     yield found
                 held, count = [(bucket[cut:], node[cut:], fp[cut:])], len(bucket) - cut
-        if count and (found := edges(*arrays())) is not None:
+                if count >= limit:
+                    hot, seen, held, count = int(bucket[-1]), count, [], 0
+        if hot is not None:
+            yield marker(hot, seen)
+        if count and (found := edges(*(np.concatenate(x) for x in zip(*held, strict=True)))) is not None:
             yield found
 
     return run
 
 
-def link_fingerprints(fps: DataFrame, masks: list[list[int]], distance: int) -> DataFrame:
+def link_fingerprints(fps: DataFrame, masks: list[list[int]], distance: int, limit: int = ROWS) -> DataFrame:
     """fps: node long, w0, w1, ... long, distinct. ``masks``: the bits, by word, that agree in a bucket, one per choice.
 
     Returns pairs u, v of nodes that connect what links of ``distance`` bits or fewer within the buckets connect: a
-    spanning forest per bucket, not all pairs.
+    spanning forest per bucket, not all pairs. A bucket of ``limit`` fingerprints or more, such as a huge group of near
+    copies, is cut into parts, and every two parts meet in a bucket of their own: no task holds more than about
+    ``limit`` rows, none is left out, and the parts' pairs spread over the cluster.
     """
-    words = [c for c in fps.columns if c != "node"]
+    spark, words = fps.sparkSession, [c for c in fps.columns if c != "node"]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     # One hash per choice and agreeing bits: a chance collision adds a comparison, never a link.
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, mask, strict=True) if m)) for k, mask in enumerate(masks)))
     dealt = fps.select("node", *words, F.explode(keys).alias("bucket"))
     ranks = [gray_rank(F.col(w)).bitwiseXOR(F.lit(-(2**63))) for w in words]
-    dealt = dealt.repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket", *ranks)
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 65536)  # rows of a few longs
-    found = scratch(dealt.select("bucket", "node", *words).mapInArrow(_links(distance), "u long, v long"), "links")
-    session(fps)
-    return found
+    out = None
+    while True:
+        ordered = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *ranks)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 65536)  # rows of a few longs
+        found = scratch(ordered.select("bucket", "node", *words).mapInArrow(_links(distance, limit), "u long, v long, hot boolean"), "links")
+        session(fps)
+        pairs = found.filter("not hot").select("u", "v")
+        out = pairs if out is None else out.unionByName(pairs)
+        hot = found.filter("hot").select(F.col("u").alias("bucket"), F.ceil(F.col("v") / max(1, limit // 4)).alias("parts"))
+        if hot.isEmpty():
+            return out
+        split = dealt.join(hot, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dealt = split.select("node", *words, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
 
 
 def _group(rows: DataFrame, words: list[str], masks, distance: int) -> DataFrame:
