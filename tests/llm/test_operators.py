@@ -325,6 +325,21 @@ def test_choices_are_complete():
     assert simhash.blocks_for(10) == 6 and simhash.blocks_for(10**11) > 6
 
 
+def test_hot_buckets_are_split(spark):
+    rng, found = np.random.default_rng(8), set()
+    for base in rng.integers(0, 2**63, 3).tolist():
+        for _ in range(300):
+            x = base
+            for k in rng.integers(0, 30, rng.integers(0, 4)):
+                x ^= 1 << int(k)
+            found.add(x)
+    found |= set(rng.integers(0, 2**63, 200).tolist())
+    fps = spark.createDataFrame([(x, x) for x in found], "node long, w0 long")
+    masks = [[m] for m in simhash.choices(6)]
+    whole, cut = ({r["u"]: r["m"] for r in components.components(simhash.link_fingerprints(fps, masks, 4, limit)).collect()} for limit in (1 << 18, 64))
+    assert whole == cut and len(set(whole.values())) >= 3
+
+
 def test_components(spark):
     rng, edges = random.Random(9), []
     for c in range(40):
