@@ -41,6 +41,26 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a struct ``row`` of all other columns, whatever their names: what Python functions can pass on."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, text from df (n_chars, where there is one, follows it)."""
+    cols = []
+    for f in docs.schema.fields:
+        own = {"text": F.col("text"), "n_chars": F.length("text").cast(f.dataType)}.get(f.name, F.col("row").getField(f.name))
+        cols.append(own.alias(f.name))
+    return df.select(*cols)
+
+
 def session(df: DataFrame) -> SparkSession:
     """The table's session, made ready for Python workers: they find this package, and batches are small."""
     spark = df.sparkSession
@@ -118,9 +138,8 @@ def pick_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted: key (id_key), version (xxhash64 of the text, null as empty), times: rows to give for all rows of that key and
     version together. Repeated rows share the times evenly.
     """
-    names = docs.columns
     version = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.struct(*names).alias("row"), id_key().alias("row_key"), version.alias("row_version"))
+    rows = docs.select(whole_row(docs).alias("row"), id_key().alias("row_key"), version.alias("row_version"))
     wanted = wanted.filter("times > 0").select(F.col("key").alias("k"), F.col("version").alias("v"), "times")
     met = rows.join(wanted.hint("shuffle_hash"), (F.col("row_key") == F.col("k")) & (F.col("row_version") == F.col("v"))).drop("k", "v")
     # The rows of a key and version are the same text: number them without sorting by more than the key.

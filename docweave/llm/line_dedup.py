@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_key, scratch, session, texts
+from .common import id_key, packed, scratch, session, texts, unpacked
 
 MIN_CHARS = 10
 #: Lines that are settled together in one task: bounds its memory.
@@ -159,27 +160,23 @@ def op5_line_dedup(docs: DataFrame) -> DataFrame:
     return with_bitmaps(texts(docs)).mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def _rebuild(batches):
+    for batch in batches:
+        new = [
+            t if t is None or kept is None else "\n".join(kept_lines(t, kept["bitmap"], kept["n_bits"]))
+            for t, kept in zip(batch.column("text").to_pylist(), batch.column("kept__").to_pylist(), strict=True)
+        ]
+        yield pa.record_batch([pa.array(new, pa.string()), batch.column("row")], names=["text", "row"])
+
+
 def rebuild(docs: DataFrame) -> DataFrame:
     """The documents, same columns, with their dropped lines gone (n_chars, where there is one, follows).
 
     Documents all of whose lines go keep an empty text; a null text stays null.
     """
-    spec = docs.schema
-    text_at, chars_at = spec.names.index("text"), spec.names.index("n_chars") if "n_chars" in spec.names else None
-
-    def run(batches):
-        for batch in batches:
-            columns = [batch.column(c) for c in spec.names]
-            new = [
-                t if t is None or kept is None else "\n".join(kept_lines(t, kept["bitmap"], kept["n_bits"]))
-                for t, kept in zip(columns[text_at].to_pylist(), batch.column("kept__").to_pylist(), strict=True)
-            ]
-            columns[text_at] = pa.array(new, pa.string())
-            if chars_at is not None:
-                columns[chars_at] = pa.array([None if t is None else len(t) for t in new], columns[chars_at].type)
-            yield pa.record_batch(columns, names=spec.names)
-
-    return with_bitmaps(docs).mapInArrow(run, spec)
+    rows = packed(docs)
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType)])
+    return unpacked(with_bitmaps(rows).mapInArrow(_rebuild, kind), docs)
 
 
 OP5_SQL = r"""

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import scratch, session, texts
+from .common import packed, scratch, session, texts
 
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the labelled rows that the lexicon and the scale are fitted on.
@@ -281,8 +282,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     if "score" in docs.columns:
         raise ValueError("documents have a column score; rename it")
     held = spark.sparkContext.broadcast(lexicon)
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(held), f"{spec}, score double")
+    return docs.mapInArrow(_score(held), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -294,5 +294,5 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, same columns, without those that score THRESHOLD or more."""
     lexicon = learn(docs, labels)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score_documents(packed, lexicon).filter(F.col("score") < THRESHOLD).select("row.*")
+    clean = score_documents(packed(docs), lexicon).filter(F.col("score") < THRESHOLD)
+    return clean.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

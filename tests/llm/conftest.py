@@ -5,7 +5,7 @@ import pytest
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size string, key int, id string, version string, row int, node string, digest binary, "
-    "paragraph string, gram string, bucket int, first string, times int, score_ string, best string, kept boolean, html string"
+    "paragraph string, gram string, bucket int, first string, times int, score_ string, best string, kept boolean, html string, `odd.name x` string"
 )
 
 
@@ -43,7 +43,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, rows):
-    full = [(i, t, "en", s, None if t is None else len(t), "S", 1, "I", "V", 2, "N", b"d", "p", "g", 3, "f", 4, "sc", "b", True, "<p>") for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), "S", 1, "I", "V", 2, "N", b"d", "p", "g", 3, "f", 4, "sc", "b", True, "<p>", "o") for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(5).cache()
 
 

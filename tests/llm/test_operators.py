@@ -523,6 +523,43 @@ def test_pipeline_on_odd_rows(spark, docs, empty, labels, tmp_path):
         assert held.count() == corpus_pipeline.run(spark, str(d)).count() and (held.count() > 0) == (name == "some")
 
 
+def test_stages_against_plain_versions(spark, sf_dir):
+    """Each stage on all that its predecessor kept, held against a plain version of it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    lexicon = toxicity.learn(docs, labels)
+    clean = [r for r in rows if lexicon.score(r[1]) < toxicity.THRESHOLD]
+    stages = dict(corpus_pipeline.STAGES)
+    held = common.scratch(stages["toxicity"](spark, docs, sf_dir), "a")
+    assert collect(held, "doc_id", "text") == sorted((x[:2] for x in clean), key=repr)
+    held = common.scratch(stages["line_dedup"](spark, held, sf_dir), "b")
+    lines = [(x[0], x[4]) for x in plain_lines(clean)]
+    assert collect(held, "doc_id", "text") == sorted(lines, key=repr)
+    before = [(r["doc_id"], r["text"]) for r in held.collect()]
+    sets = {i: frozenset(fingerprints.shingle_spans(t, 5)[0][a:b] for a, b in zip(*fingerprints.shingle_spans(t, 5)[1:], strict=True)) for i, t in before}
+    held = common.scratch(stages["near_duplicates"](spark, held, sf_dir), "c")
+    kept = {r["doc_id"] for r in held.collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+    near = {i: [j for j in sets if j != i and like(i, j) >= 0.8] for i in sets}
+    assert all(i in kept for i in sets if not any(like(i, j) >= 0.6 for j in sets if j != i))
+    both = sum(i in kept and j in kept for i in sets for j in near[i] if i < j)
+    assert both <= 0.1 * max(1, sum(map(len, near.values())) / 2) and all(i in kept or any(j in kept for j in sets if j < i) for i in sets)
+    left = [(r["doc_id"], r["text"], r["source"]) for r in held.collect()]
+    mixed = common.scratch(stages["mixing"](spark, held, sf_dir), "d")
+    size = lambda t: len((t or "").split())
+    sizes, taken, biggest = Counter(), Counter(), Counter()
+    for _, t, s in left:
+        sizes[s] += size(t)
+        biggest[s] = max(biggest[s], size(t))
+    for r in mixed.collect():
+        taken[r["source"]] += size(r["text"])
+    goals = mixing.targets(dict(sizes))
+    assert all(abs(taken[s] - goals[s]) <= biggest[s] / 2 + 1 for s in sizes)
+    packed = stages["packing"](spark, mixed, sf_dir)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(packing.token_ids(r["text"] or "")) + 1 for r in mixed.collect())
+
+
 def test_registry(spark, sf_dir):
     import __spark_entry__
 
