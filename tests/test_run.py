@@ -76,7 +76,7 @@ def test_deterministic_run(spark, done, hr):
     assert q["high"] + q["medium"] + q["review"] == 33 and 0.8 < q["mean_confidence"] <= 1
     doc = json.loads(writers.mapping_text(done.document))
     assert list(doc) == [f.split()[0] for f in MAPPING_DOCUMENT.split(", ")[:5]] and "notes" in doc["tables"][0]["field_mappings"][2]
-    assert writers.mapping_name(done.document) == "mapping_legacy_hrm_to_people_platform.json"
+    assert writers.mapping_name(done.document) == "mapping_old_hr_to_people.json"
     assert [e["type"] for e in done.progress.events][0] == "run_start" and done.progress.events[-1]["type"] == "run_end"
     assert done.progress.frame(spark).filter("type = 'mapping'").count() == 33
 

@@ -15,7 +15,7 @@ def paths(payload):
 
 def test_ddl(spark):
     rows = {(r["table"], r["name"]): r for r in reader.source_fields(spark, HR_DDL).collect()}
-    assert len(rows) == 34 and {r["database"] for r in rows.values()} == {"legacy_hrm"}
+    assert len(rows) == 34 and {r["database"] for r in rows.values()} == {"old_hr"}
     e = rows["emp_master", "emp_id"]
     assert e["is_pk"] and not e["nullable"] and not e["is_fk"]
     assert rows["emp_master", "office_loc_id"]["references"] == "locations.loc_id" and rows["emp_master", "office_loc_id"]["is_fk"]
