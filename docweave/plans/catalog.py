@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.similarity import containment, jaccard, lexical, with_ratio
-from docweave.operators import adjudicate, assemble, coverage, decisions, evaluation, ledger, migrate, pairing, routing, shortlist, snippets
+from docweave.operators import adjudicate, assemble, coverage, decisions, evaluation, ledger, migrate, pairing, prompts, routing, shortlist, snippets
 from docweave.operators.extract_json import extract_json
 from docweave.plans import tpch
 from docweave.plans.run import compile_mapping, map_schemas
 from docweave.session import prepare
+from docweave.sinks import writers
 from docweave.sources import inference, reader
 from docweave.streaming.progress import last_by_key
 from docweave.types import TYPE_DEFAULT, TYPE_MATRIX
@@ -498,7 +499,7 @@ def fuzzy_ratio(t, spark):
     return with_ratio(pairs, "a", "b", "ratio").select("p_partkey", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('cust', 'people', 0.9::DOUBLE), ('emp', 'staff', 0.7), ('ord', 'orders', 0.8), ('ghost', 'staff', 0.5)) v(\"table\", collection, confidence)")
 def greedy_routing(t, spark):
     proposals = [("cust", "people", 0.9, ""), ("emp", "people", 0.7, ""), ("ord", "orders", 0.8, ""), ("ghost", "nowhere", 0.9, "")]
     return routing.resolve(proposals, ["people", "staff", "orders"]).frame(spark).select("table", "collection", "confidence")
@@ -511,6 +512,65 @@ def extract_json_answers(t, spark):
     return found.select("event_id", F.get_json_object("j", "$.k").alias("k"))
 
 
+# ---- parts of a run one by one
+
+
+@query("""SELECT * FROM (VALUES ('customer.c_custkey', 'c_custkey (BIGINT, PK, NOT NULL)', 'integer', 'PK'), ('customer.c_name', 'c_name (VARCHAR(25), NOT NULL, // customer name)', 'string', ''),
+       ('customer.c_nationkey', 'c_nationkey (INT)', 'integer', ''), ('customer.c_acctbal', 'c_acctbal (DECIMAL(12,2), // account balance)', 'decimal', ''),
+       ('customer.c_mktsegment', 'c_mktsegment (CHAR(10), // market segment)', 'string', ''), ('orders.o_orderkey', 'o_orderkey (BIGINT, PK, NOT NULL)', 'integer', 'PK'),
+       ('orders.o_custkey', 'o_custkey (BIGINT, FK, -> customer.c_custkey)', 'integer', 'FK'), ('orders.o_orderstatus', 'o_orderstatus (CHAR(1), // F=Finished, O=Open, P=Pending)', 'string', ''),
+       ('orders.o_totalprice', 'o_totalprice (DECIMAL(12,2), // total price)', 'decimal', ''), ('orders.o_orderdate', 'o_orderdate (DATETIME, // order date)', 'datetime', ''),
+       ('orders.o_orderpriority', 'o_orderpriority (VARCHAR(15), // priority)', 'string', '')) v(qualified, "describe", category, key_role)""")
+def describe_source(t, spark):
+    return prompts.derive_source(reader.source_fields(spark, tpch.DDL)).select("qualified", "describe", "category", "key_role")
+
+
+@query("""SELECT * FROM (VALUES ('customers', '_id', 'ObjectId', NULL), ('customers', 'name', 'String', NULL), ('customers', 'account.balance', 'Number', NULL),
+       ('customers', 'market.segment', 'String', NULL), ('orders', '_id', 'ObjectId', NULL), ('orders', 'customer.customerId', 'ObjectId', 'customers._id'),
+       ('orders', 'customer.name', 'String', NULL), ('orders', 'status', 'String', NULL), ('orders', 'total.price', 'Number', NULL), ('orders', 'dates.orderDate', 'ISODate', NULL),
+       ('orders', 'priority', 'String', NULL)) v(collection, path, bson_type, "references")""")
+def dest_paths(t, spark):
+    return reader.dest_fields(spark, tpch.DOCUMENTS).select("collection", "path", "bson_type", "references")
+
+
+@query("""WITH k AS (SELECT user_id, value FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+SELECT event_id, e.user_id, k.value AS answer FROM events e LEFT JOIN k USING (user_id)""")
+def cache_lookup(t, spark):
+    events = t("events")
+    cache = events.filter("event_id % 3 = 0").groupBy("user_id").agg(F.min_by("value", "event_id").alias("answer"))
+    hit, miss = writers.cached(events.select("event_id", "user_id"), cache, "user_id")
+    return hit.unionByName(miss.withColumn("answer", F.lit(None).cast("double"))).select("event_id", "user_id", "answer")
+
+
+@query("""SELECT count(*) AS total_calls, max(user_id % 3)::BIGINT AS max_tables, max(user_id % 11) FILTER (event_id % 2 = 0)::BIGINT AS max_typed_fields, max(user_id % 11)::BIGINT AS max_named_fields,
+       max(CASE WHEN user_id % 4 > 0 THEN 1 ELSE 0 END)::BIGINT AS max_paths, coalesce(max(user_id % 9) FILTER (event_type = 'click'), 0)::BIGINT AS max_mappings, max(event_id % 900 + 100)::BIGINT AS max_input_tokens
+FROM events""")
+def constraint_maxima(t, spark):
+    many = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    u = F.col("user_id")
+    calls = t("events").select(
+        F.when(F.col("event_type") == "click", "adjudicate").otherwise("route").alias("stage"), F.when(F.col("event_id") % 2 == 0, "typed").otherwise("names").alias("detail_level"),
+        many(u % 3).alias("source_tables"), many(u % 11).alias("source_fields"), many(u % 4).alias("destination_paths"), (u % 9).alias("mappings"), (F.col("event_id") % 900 + 100).alias("input_tokens"),
+    )
+    return ledger.constraint_maxima(calls)
+
+
+@query("""SELECT * FROM (VALUES ('orders', 'customer.name', 'A copy kept beside customer.customerId; joining customers._id fills it, not a column of orders.')) v(collection, path, reason)""")
+def unmapped_destination(t, spark):
+    return _run(spark).report()["unmapped_destination"]
+
+
+@query("""SELECT * FROM (VALUES ('customer', 'c_nationkey')) v("table", name)""")
+def unmapped_source(t, spark):
+    return _run(spark).report()["unmapped_source"].select("table", "name")
+
+
+@query("SELECT 0::BIGINT AS faults")
+def full_validation(t, spark):
+    r = _run(spark)
+    return coverage.full_validation(r.document, r.source, r.dest).agg(F.count(F.lit(1)).alias("faults"))
+
+
 def queries():
     return dict(QUERIES)
 
