@@ -118,14 +118,19 @@ def drop_scratch(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def heavy_from(total: int) -> int:
+    """Rows that make a key heavy: at most HEAVY_PARTS keys can have so many of ``total`` rows."""
+    return max(2, -(-total // HEAVY_PARTS))
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows with one row of groups per key, where groups.size counts the rows of a key.
 
     Keys with 1/HEAVY_PARTS of all rows or more number HEAVY_PARTS at most, so they are broadcast and their rows
     stay where they are; all other keys are shuffled.
     """
-    least = max(2, total // HEAVY_PARTS)
-    heavy = F.broadcast(groups.filter(F.col(size) >= least).limit(HEAVY_PARTS + 1))
+    least = heavy_from(total)
+    heavy = F.broadcast(groups.filter(F.col(size) >= least))
     light = groups.filter(F.col(size) < least)
     near = rows.join(heavy, key, "inner")
     far = rows.join(heavy.select(key), key, "left_anti").join(light, key, "left")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_PARTS, id_back, id_key, scratch, session, texts
+from .common import HEAVY_PARTS, heavy_from, id_back, id_key, scratch, session, texts
 
 _DELETE = b" \t\n\x0b\x0c\r"
 _SCHEMA = "summary boolean, doc_id long, n long, digest binary"
@@ -72,11 +72,10 @@ def exact_dedup(docs: DataFrame, counters: int = 4 * HEAVY_PARTS) -> DataFrame:
     )
     total = made.filter(~F.col("summary")).count()
     frequent = (
-        made.filter("summary").groupBy("digest").agg(F.sum("n").alias("least")).filter(F.col("least") >= max(2, total // HEAVY_PARTS))
+        made.filter("summary").groupBy("digest").agg(F.sum("n").alias("least")).filter(F.col("least") >= heavy_from(total))
     )
-    best = lambda c: (F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size"))
-    # Counters never exceed true counts, so at most HEAVY_PARTS digests pass (a few more for tiny tables): bounded.
-    winners = rows.join(F.broadcast(frequent.select("digest")), "digest").groupBy("digest").agg(*best(0))
+    # Counters never exceed true counts, so at most HEAVY_PARTS digests pass.
+    winners = rows.join(F.broadcast(frequent.select("digest")), "digest").groupBy("digest").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size"))
     heavy = rows.join(F.broadcast(winners), "digest")
     w = Window.partitionBy("digest")
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
