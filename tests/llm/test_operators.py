@@ -48,6 +48,15 @@ def test_heavy_digests_take_the_other_way(spark):
     assert {r["group_size"] for r in got.filter("doc_id % 3 <> 0").collect()} == {400} and got.filter("kept").count() == 201
 
 
+def test_lookup_of_many_middling_keys(spark):
+    """Thousands of pairs: more keys with two rows than may be broadcast."""
+    rows = spark.range(3000).select(F.expr("id div 2").alias("k"), "id").union(spark.range(3000, 3500).select(F.lit(-1).cast("long").alias("k"), "id"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = common.lookup(rows, groups, "k", "n", 3500)
+    assert got.count() == 3500 and got.filter("least is null or n is null").isEmpty()
+    assert all((t - 1) // common.heavy_from(t) <= common.HEAVY_PARTS for t in range(1, 9000))
+
+
 def test_misra_gries_keeps_frequent_keys():
     held, truth, rng = {}, Counter(), random.Random(1)
     for _ in range(40):
