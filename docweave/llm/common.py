@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.session import prepare, remove, scratch, shared_dir
+
+__all__ = ["NO_ID", "drop_scratch", "heavy_from", "id_back", "id_key", "lookup", "packed", "partitions", "pick_rows", "scratch", "session", "shared_dir", "table", "texts", "unpacked", "whole_row"]
+
 #: Stands for a null id in comparisons: a null id sorts after every other one.
 NO_ID = 2**63 - 1
-#: The only characters that count as white space in the corpus operators.
-SPACE = " \t\n\x0b\x0c\r"
 #: A key with at least one row in HEAVY_PARTS of all rows is heavy, so there are HEAVY_PARTS heavy keys at most.
 HEAVY_PARTS = 1024
 #: Rows in an Arrow batch: long texts must not add up in a Python worker.
@@ -63,10 +59,7 @@ def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def session(df: DataFrame) -> SparkSession:
     """The table's session, made ready for Python workers: they find this package, and batches are small."""
-    spark = df.sparkSession
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+    spark = prepare(df.sparkSession)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
@@ -76,46 +69,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where it is unset and Spark runs in one process."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(
-            jvm.org.apache.hadoop.fs.Path(path), True
-        )
-    except Exception:  # the session has ended; the folder belongs to it
-        pass
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of executors.
-
-    The table goes when the driver's Python ends; a lazy result may read it until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(df: DataFrame) -> None:
     """Remove a scratch table that no later plan reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def heavy_from(total: int) -> int:
