@@ -16,11 +16,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key, partitions, session, texts
+from .common import id_back, id_key, partitions, session, texts
 
 BINS = 512
 BITS = 4
@@ -137,19 +137,6 @@ def _inside(batches):
             yield _rows(out)
 
 
-def _ends(batches):
-    """The first and the last document of a sorted range."""
-    first, last = None, None
-    for batch in batches:
-        if batch.num_rows:
-            if first is None:
-                first = batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1, 1)
-    if first is not None:
-        for kind, row in (("first", first), ("last", last)):
-            yield pa.record_batch([row.column("part"), pa.array([kind]), row.column("doc_id"), row.column("text")], names=["part", "kind", "doc_id", "text"])
-
-
 def _pairs(batches):
     for batch in batches:
         yield _rows(
@@ -169,11 +156,11 @@ def key_ranges(keys: DataFrame, count: int) -> list[int]:
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, which ends with the beginning of the next document's text.
 
-    Ranges of doc_id are dealt to partitions and sorted, so neighbours meet in one stream; only the first and last text
-    of each range meet those of the next one in a join with a row per range. The bounds are worked out once, from the
-    ids alone: both passes and any retried task see the same ranges. A null text is empty, a null doc_id sorts last,
-    repeated rows follow one another; one document alone follows itself. An empty table gives an empty result. Other
-    columns are ignored.
+    Ranges of doc_id are dealt to partitions and sorted, so neighbours meet in one stream; only the last text of each
+    range meets the first one of the next range in a join with a row per range. Bounds and ends of ranges are worked out
+    once, from the ids alone, so all plans and retried tasks see the same ones; the driver holds a row per range. A
+    null text is empty, a null doc_id sorts last, repeated rows follow one another; one document alone follows itself.
+    An empty table gives an empty result. Other columns are ignored.
     """
     spark = session(docs)
     rows = texts(docs).select("doc_id", "text", id_key().alias("key"))
@@ -184,15 +171,19 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left"))
 
+    spans = rows.select("key").withColumn("part", range_of("key")).groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    spans = sorted(tuple(r) for r in spans.collect())
+    following = [(last, spans[(k + 1) % len(spans)][1]) for k, (_, _, last) in enumerate(spans)]
+    ring = F.broadcast(spark.createDataFrame(following, "last long, next long"))
+    ends = F.broadcast(spark.createDataFrame(sorted({(x,) for pair in following for x in pair}), "key long"))
+    # two texts at most for each end, whatever the number of rows with its id
+    found = rows.join(ends, "key").groupBy("key").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    lasts = found.join(ring, F.col("key") == F.col("last")).select(id_back("key", "doc_id"), F.col("high").alias("text"), "next")
+    firsts = found.select(F.col("key").alias("next"), F.col("low").alias("next_text"))
+    joined = lasts.join(firsts, "next").select("doc_id", "text", "next_text")
+
     ordered = rows.withColumn("part", range_of("key")).repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("key", "text")
-    main = ordered.mapInArrow(_inside, _OUT)
-    ends = ordered.mapInArrow(_ends, "part long, kind string, doc_id long, text string")
-    firsts, lasts = (ends.filter(F.col("kind") == k).drop("kind") for k in ("first", "last"))
-    # A row per range, no texts: which range with documents comes next (after the last: the first).
-    ring = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.partitionBy(F.lit(0))).alias("least"))
-    ring = ring.select("part", F.coalesce("next", "least").alias("next"))
-    joined = lasts.join(ring, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("next_text")), "next")
-    return main.unionByName(joined.select("doc_id", "text", "next_text").mapInArrow(_pairs, _OUT))
+    return ordered.mapInArrow(_inside, _OUT).unionByName(joined.mapInArrow(_pairs, _OUT))
 
 
 op1_fingerprints = with_neighbours
