@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import id_key, pick_rows, scratch, session
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
