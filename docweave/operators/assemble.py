@@ -121,3 +121,20 @@ def review_list(document: DataFrame, below: float | None = DEFAULTS.medium) -> D
     """Mappings with their band, least sure last; ``below``: only those that need review."""
     rows = mapped_fields(document).withColumn("band", band(F.col("confidence")))
     return (rows if below is None else rows.filter(F.col("confidence") < below)).orderBy(F.desc("confidence"), "source_table", "source_field")
+
+
+def mapped_first(source: DataFrame, document: DataFrame) -> DataFrame:
+    """Columns of each table for display: mapped ones first, each kind in order of declaration; with their path."""
+    found = mapped_fields(document).select(F.col("source_table").alias("table"), F.col("source_field").alias("name"), F.col("destination_field").alias("path"))
+    rows = source.select("table", "table_ord", "ord", "name").join(found, ["table", "name"], "left")
+    return rows.orderBy("table_ord", F.col("path").isNull(), "ord").select("table", "name", "path")
+
+
+def paths_following(dest: DataFrame, source: DataFrame, document: DataFrame) -> DataFrame:
+    """Paths of each collection for display: in the order of the columns that fill them, then the others as declared."""
+    found = mapped_fields(document).join(
+        source.select(F.col("table").alias("source_table"), F.col("name").alias("source_field"), F.col("ord").alias("at")), ["source_table", "source_field"]
+    )
+    found = found.select(F.col("destination_collection").alias("collection"), F.col("destination_field").alias("path"), "at")
+    rows = dest.select("collection", "coll_ord", "ord", "path").join(found, ["collection", "path"], "left")
+    return rows.orderBy("coll_ord", F.col("at").isNull(), "at", "ord").select("collection", "path", (F.col("at").isNotNull()).alias("mapped"))

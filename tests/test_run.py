@@ -81,6 +81,13 @@ def test_deterministic_run(spark, done, hr):
     assert done.progress.frame(spark).filter("type = 'mapping'").count() == 33
 
 
+def test_display_orders(done, hr):
+    shown = [(r["table"], r["name"], r["path"]) for r in assemble.mapped_first(hr[0], done.document).collect()]
+    assert shown[0] == ("emp_master", "emp_id", "_id") and shown[18] == ("emp_master", "dob", None) and len(shown) == 34
+    paths = [r["path"] for r in assemble.paths_following(hr[1], hr[0], done.document).filter("collection = 'employees'").collect()]
+    assert paths[:2] == ["_id", "employeeCode"] and paths[-7:] == ["department.code", "department.name", "location.code", "location.name", "location.city", "location.country", "location.timezone"]
+
+
 def test_whole_table_migration(spark, done):
     rows = spark.createDataFrame([(1, "E1", "A", 1, 7, "2020-01-02 03:04:05"), (2, "E2", "Q", 0, None, None)], "emp_id int, emp_cd string, rec_stat string, is_remote int, dept_id int, hire_dt string")
     out = {r["emp_id"]: r for r in api.migrate_table(rows, done, "emp_master", ["emp_id"]).collect()}
