@@ -245,13 +245,13 @@ def link_fingerprints(fps: DataFrame, masks: list[list[int]], distance: int, lim
 
 
 def _group(rows: DataFrame, words: list[str], masks, distance: int) -> DataFrame:
-    """rows: doc_id, node, words. Adds size (rows of the node) and first (least id key of the component)."""
+    """rows: doc_id, node, words. Adds size (rows of the node), first (least id key of the component) and root (its least node)."""
     groups = scratch(rows.groupBy("node", *words).agg(F.min(id_key()).alias("least"), F.count(F.lit(1)).alias("size")), "groups")
     found = components(link_fingerprints(groups.select("node", *words), masks(groups.count()), distance))
     rooted = groups.join(found.withColumnRenamed("u", "node"), "node", "left").select("node", "least", "size", F.coalesce("m", "node").alias("root"))
     # equal documents are one row by now, and minima are combined before the shuffle
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = scratch(rooted.join(first, "root").select("node", "size", "first"), "named")
+    named = scratch(rooted.join(first, "root").select("node", "size", "first", "root"), "named")
     return lookup(rows, named, "node", "size", rows.count())
 
 
@@ -330,7 +330,7 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
 
     The estimate's standard error is about 0.03 at 0.8 with 512 bits; pairs are linked up to half an error below the threshold,
     so that most pairs at the threshold are found. Returns a row per input row: doc_id, version (hash of the text),
-    component_id. Texts without words are one group. Nulls, repeats and other columns as in near_duplicates().
+    component_id, first (its key), root (names the group, also where groups share a key). Texts without words are one group. Nulls, repeats and other columns as in near_duplicates().
     """
     session(docs)
     share = turned(likeness)
@@ -340,12 +340,11 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
     made = made.mapInArrow(_wide(words, width), "doc_id long, version long, " + ", ".join(f"{c} long" for c in names))
     rows = scratch(made.withColumn("node", F.xxhash64(*names)), "fingerprints")
     found = _group(rows, names, lambda n: sampled_masks(n, likeness, width), distance)
-    return found.select("doc_id", "version", F.col("first").alias("first"), id_back("first", "component_id"))
+    return found.select("doc_id", "version", "first", "root", id_back("first", "component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of like documents, same columns: the smallest doc_id's (its first row if it repeats)."""
-    found = like_documents(docs).filter(id_key() == F.col("first"))
-    # one version stays where a doc_id has several in its group
-    keep = found.groupBy(id_key().alias("key"), "first").agg(F.min("version").alias("version"), F.lit(1).cast("long").alias("times"))
-    return pick_rows(docs, keep.select("key", "version", "times"))
+    # groups of null ids alone share a key, as do those of a doc_id with several texts: each group is a root of its own
+    keep = like_documents(docs).groupBy("root").agg(F.min(F.struct(id_key().alias("key"), "version")).alias("own"))
+    return pick_rows(docs, keep.select("own.key", "own.version", F.lit(1).cast("long").alias("times")))

@@ -371,6 +371,16 @@ def test_keep_first(docs, rows):
     assert set(lone) <= set(ids)
 
 
+def test_keep_first_keeps_one_of_each_group(spark):
+    """Groups of null ids alone, and groups led by one doc_id with several texts, are groups of their own."""
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(60))
+    lone = [text() for _ in range(40)]
+    rows = [(None if k < 30 else 7, t) for k, t in enumerate(lone)] + [(None, lone[0]), (9, lone[35]), (None, lone[36])]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted(rows[:40], key=repr)
+
+
 def test_near_copies_are_found_at_the_threshold(spark):
     rng, rows = random.Random(11), []
     for k in range(120):
