@@ -393,6 +393,41 @@ def test_near_copies_are_found_at_the_threshold(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(120)) >= 114 and all(got[2 * k] == 2 * k for k in range(120))
 
 
+def test_like_documents_against_brute_force(spark):
+    """Long and short texts around the threshold, and a large group of near copies: links are those of the shingle sets."""
+    rng, rows = random.Random(12), []
+    word = lambda: str(rng.randrange(10**6))
+    for n, edits, pairs in ((300, 7, 90), (300, 8, 60), (300, 9, 40), (44, 1, 50), (8, 0, 20), (9, 0, 20), (13, 0, 20)):
+        for _ in range(pairs):
+            a = [word() for _ in range(n)]
+            b = list(a) if edits else a + [word() for _ in range(1 if n < 13 else 3)]
+            for at in rng.sample(range(2, n - 2), edits):
+                b[at] = word()
+            rows += [a, b]
+    base = [word() for _ in range(120)]
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(4)):
+            copy[at] = word()
+        rows.append(copy)
+    sets = [{tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for x in rows]
+    like = {(a, b): s for b in range(len(rows)) for a in range(b) if (s := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.6}
+    label = list(range(len(rows)))
+    for (a, b), s in like.items():
+        if s >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.like_documents(df).collect()}
+    edge = [p for p, s in like.items() if 0.8 <= s < 0.85]
+    below = [p for p, s in like.items() if s < 0.8 and label[p[0]] != label[p[1]]]
+    linked = sum(got[a] == got[b] for a, b in edge)
+    print("pairs at 0.80 to 0.85:", len(edge), "linked:", linked, "below and not connected:", len(below), "linked:", sum(got[a] == got[b] for a, b in below))
+    assert len(edge) > 50 and len(below) > 50
+    assert linked >= 0.98 * len(edge) and not any(got[a] == got[b] for a, b in below)
+    assert sum(got[k] != label[k] for k in range(len(rows))) <= 0.02 * len(rows)
+
+
 # ---- 3
 
 
