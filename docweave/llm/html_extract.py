@@ -1,17 +1,25 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged: a style node is a path of tags with their classes, ids and roles, seen from the root. Per
-host and node the tree holds how many pages have it and how evenly its contents vary. A content node that shows
-the same few texts on page after page has low entropy, a presentation node has the entropy of the styles below it; a
-node whose composite importance is low is noise, and its whole branch leaves every page of the host. Tags, roles and
-class names that never hold main text (menus, footers, forms, adverts, comments) are the tree's prior: they are noise
-whatever a host has to say, which also serves hosts with few pages.
+The whole DOMs of a host are merged: a style node is a path of block elements with their classes and roles, seen from the
+root. Over the host's pages a node has
+
+* a presentation entropy: in bits, of what follows what below it (child elements, and texts by their order of length);
+* a content importance: 1 less the entropy of its texts as a share of the greatest possible, where every text is a
+  unit of its own, so a menu that differs in one entry still repeats all others.
+
+What a page is about varies in both: its presentation from page to page, as articles have other numbers of paragraphs, and its
+words. A template's slots keep their shape even if their words change, and menus and notices repeat their words. A node
+takes the presentation of the liveliest region around it, as a share of the host's liveliest. Tags, roles and class
+names only weigh: an importance is shrunk towards a neutral one by PRIOR pages and multiplied by the weight of an article, of a
+branch that looks like a menu, advert or form, or of anything else, so a host with few pages rests on the marks and one
+with many on its statistics. Branches of low importance leave the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,26 +29,33 @@ from pyspark.sql import functions as F
 
 from .common import scratch, session
 
-#: Pages of a host that must have a node before its statistics speak.
-LEAST_PAGES = 8
-#: A node is noise below this importance (0: the same on every page, 1: another content on every page).
-IMPORTANCE = 0.3
-
-# Fixed values of HTML: elements without content, elements with raw text, and elements that break a line of text.
+#: Pages that the neutral importance of 0.5 counts for beside a node's own statistics.
+PRIOR, NEUTRAL = 4, 0.5
+#: Bits that are added to presentation entropies before they are compared: hosts whose pages all look alike tell nothing.
+LEAST_BITS = 0.25
+#: Importance of texts that every page repeats, to that of texts of which each page has its own.
+REPEATED = 0.25
+#: A block stays if its node has this importance, and this share of the page's greatest.
+IMPORTANCE, SHARE = 0.1, 0.5
+#: Weights of branches marked as menus, adverts, forms and the like, of anything else, and of articles.
+MARKED, PLAIN, ARTICLE = 0.15, 0.45, 1.0
+#: Elements nested deeper belong to the node at this depth; their text stays in it.
+DEPTH = 32
+
+# Fixed values of HTML: elements without content, elements with raw text, elements that are never shown as text, and
+# elements that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp plaintext".split())
+UNSEEN = frozenset("head template noscript object svg canvas audio video map datalist select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose branch never is main text.
-NOISE_TAGS = frozenset(
-    "head script style noscript template nav footer aside form button input select textarea label fieldset iframe object embed "
-    "svg canvas audio video map dialog menu search datalist title noembed noframes".split()
-)
+#: Elements that seldom hold main text.
+NOISE_TAGS = frozenset("nav footer header aside form button label fieldset dialog menu search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
-#: Parts of class names and ids of such branches; whole parts between hyphens, underscores and changes of case.
+#: Parts of class names and ids of such elements; whole parts between hyphens, underscores and changes of case.
 NOISE_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar "
     "navigation menu menus breadcrumb breadcrumbs footer header masthead topbar sidebar sidebars aside widget widgets comment comments "
@@ -48,17 +63,17 @@ NOISE_PARTS = frozenset(
     "newsletter signup login share sharing social related recommended pagination pager toolbar skip hidden copyright legal disclaimer "
     "alert toast search paywall".split()
 )
-#: Elements that hold the article: where a page has one, main text lies in it.
+#: Elements that hold the article.
 _ARTICLE = ("article", "main")
 #: An open <p> or list item ends where one of these begins.
 _ENDS_P = BLOCK - {"br"}
+_ITEMS = ("li", "dt", "dd", "tr", "td", "th", "option")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRS = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WHITE = re.compile(r"\s+")
-_LOOSE = re.compile(r"</?[A-Za-z][^>]*>")
 
 
 def attributes(tag: str, name: str) -> dict[str, str]:
@@ -68,12 +83,10 @@ def attributes(tag: str, name: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRS.finditer(inner)}
 
 
-def is_noise(name: str, attrs: dict[str, str]) -> bool:
-    """The prior: whether an element's branch can't be main text, from its tag, role, class and id alone."""
+def is_marked(name: str, attrs: dict[str, str]) -> bool:
+    """Whether an element's tag, role, class or id says that its branch is no main text."""
     if name in NOISE_TAGS:
         return True
-    if name == "header":
-        return True
     if not attrs or name in ("html", "body"):
         return False
     if name in _ARTICLE:
@@ -91,114 +104,128 @@ def is_noise(name: str, attrs: dict[str, str]) -> bool:
 
 
 def style(name: str, attrs: dict[str, str]) -> str:
-    """An element as the style tree sees it: digits in classes and ids, which often number pages, don't count."""
+    """An element as the style tree sees it: class and role; ids and long numbers tell pages apart and don't count."""
     if not attrs:
         return name
-    marks = [re.sub(r"\d+", "0", attrs[k].strip()) for k in ("id", "class", "role") if attrs.get(k)]
+    marks = [re.sub(r"\w*\d{3}\w*", "0", attrs[k].strip()) for k in ("class", "role") if attrs.get(k)]
     return name + "".join(f"[{' '.join(sorted(x.split()))}]" for x in marks)
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """blocks_of() by the whole prior; if that leaves nothing, by tags alone; only those in an article if there is one."""
-    found = blocks_of(page) or blocks_of(page, marks=False)
-    return [x for x in found if x[2]] or found
+def _name(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode()) - 2**63
 
 
-def blocks_of(page: str, marks: bool = True) -> list[tuple[str, str, bool]]:
-    """A page's blocks of text outside noise branches, in page order: style path, text, whether inside an article.
+@lru_cache(1 << 16)
+def _child(parent: int, own: str) -> int:
+    """Signed 64-bit name of a style node."""
+    return _name(f"{parent}>{own}")
 
-    ``marks``: the prior also looks at roles, classes and ids.
 
-    Tolerates what browsers do: unclosed paragraphs, list items and inline elements, end tags without a start, a
-    broken-off page. An end tag closes up to its start tag; one without a start is passed over.
+class Page:
+    """blocks: (node, text) in page order. nodes: per style node its ancestors (root first), weight and children so far.
+
+    ``weigh``: tags, roles, classes and ids weigh; else all nodes weigh the same. Tolerates what browsers do: unclosed
+    paragraphs, list items and inline elements, end tags without a start, a broken-off page. An end tag closes up to its start
+    tag; one without a start is passed over.
     """
-    out: list[tuple[str, str, bool]] = []
-    path: list[tuple[str, str, bool, bool]] = []  # name, style, noise at or above, article at or above
-    text: list[str] = []
-
-    def flush() -> None:
-        if text:
-            joined = _WHITE.sub(" ", html.unescape("".join(text))).strip()
-            text.clear()
-            if joined:
-                # inline elements are no nodes of the tree: a block is the same with and without a bold word
-                out.append((">".join(s for n, s, _, _ in path if n in BLOCK), joined, bool(path) and path[-1][3]))
-
-    def close(k: int) -> None:
-        """Close the elements from place k on."""
-        if any(n in BLOCK for n, *_ in path[k:]):
-            flush()
-        del path[k:]
-
-    at, raw = 0, ""
-    while True:
-        if raw:
-            m = re.compile(rf"</{raw}\s*/?>", re.I).search(page, at)
-            at, raw = (m.end(), "") if m else (len(page), "")
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not (path and path[-1][2]):
-            text.append(page[at:end])
-        if not m:
-            break
-        at, tag = m.end(), m[0]
-        if tag[1] in "!?":
-            continue
-        name = _NAME.match(tag)[1].lower()
-        if tag[1] == "/":
-            k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] == name), -1)
-            if k >= 0:
-                close(k)
-            elif name in ("p", "br"):
+
+    ROOT = _name("")
+
+    def __init__(self, page: str, weigh: bool = True):
+        self.blocks: list[tuple[int, str]] = []
+        self.nodes: dict[int, tuple[tuple[int, ...], float, list]] = {self.ROOT: ((), PLAIN if weigh else ARTICLE, [])}
+        self._read(page, weigh)
+
+    def shape(self, node: int) -> int:
+        """What follows what below a node, all of its places on the page in order."""
+        return _name(" ".join(map(str, self.nodes[node][2])))
+
+    def _read(self, page: str, weigh: bool) -> None:
+        path: list[tuple[str, int, bool, bool, bool]] = []  # name, node, unseen, marked, in an article: here or above
+        text: list[str] = []
+
+        def flush() -> None:
+            if text:
+                joined = _WHITE.sub(" ", html.unescape("".join(text))).strip()
+                text.clear()
+                if joined:
+                    node = path[-1][1] if path else self.ROOT
+                    self.blocks.append((node, joined))
+                    self.nodes[node][2].append((joined.count(" ") + 1).bit_length())
+
+        def close(k: int) -> None:
+            """Close the elements from place k on."""
+            above = path[k - 1][1] if k else self.ROOT
+            if path[-1][1] != above or any(n in BLOCK for n, *_ in path[k:]):
+                flush()
+            del path[k:]
+
+        def enter(name: str, attrs: dict[str, str]) -> None:
+            _, node, unseen, noisy, article = path[-1] if path else ("", self.ROOT, False, False, False)
+            noise = weigh and is_marked(name, attrs) and not (name == "header" and article)
+            if name in BLOCK or noise and not noisy:
                 flush()
-            continue
-        if name in _ENDS_P:
-            k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] in BLOCK), -1)
-            if k >= 0 and path[k][0] == "p":
-                close(k)
+                ups, _, children = self.nodes[node]
+                noisy, article = noisy or noise, article or name in _ARTICLE
+                if len(ups) < DEPTH:
+                    own = style(name, attrs) + "!" * noise
+                    children.append(own)
+                    child = _child(node, own)
+                    if child in self.nodes:
+                        self.nodes[child][2].append("/")  # another element of the same node
+                    else:
+                        self.nodes[child] = ((*ups, node), (MARKED if noisy else ARTICLE if article else PLAIN) if weigh else ARTICLE, [])
+                    node = child
+            path.append((name, node, unseen or name in UNSEEN, noisy, article))
+
+        at, raw = 0, ""
+        while True:
+            if raw:
+                m = re.compile(rf"</{raw}\s*/?>", re.I).search(page, at)
+                at, raw = (m.end(), "") if m else (len(page), "")
+            m = _TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at and not (path and path[-1][2]):
+                text.append(page[at:end])
+            if not m:
+                break
+            at, tag = m.end(), m[0]
+            if tag[1] in "!?":
+                continue
+            name = _NAME.match(tag)[1].lower()
+            if tag[1] == "/":
+                k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] == name), -1)
+                if k >= 0:
+                    close(k)
+                elif name in ("p", "br"):
+                    flush()
+                continue
+            if name in _ENDS_P:
                 k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] in BLOCK), -1)
-            if k >= 0 and path[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                close(k)
-            flush()
-        elif name == "br":
-            flush()
-        if name in RAW:
-            raw = name
-            continue
-        if name in VOID or tag.endswith("/>") and name in ("path", "rect", "circle", "use"):
-            continue
-        attrs = attributes(tag, name)
-        above = path[-1] if path else ("", "", False, False)
-        noisy = above[2] or is_noise(name, attrs if marks else {}) and not (name == "header" and above[3])
-        if noisy and not above[2]:
-            flush()
-        path.append((name, style(name, attrs) if name in BLOCK else name, noisy, above[3] or name in _ARTICLE))
-    flush()
-    return out
-
-
-def main_text(page: str, noise: frozenset = frozenset()) -> str:
-    """The text of a page's blocks, those below a noise node of its host left out, joined by newlines."""
-    found = blocks(page)
-    kept = [text for path, text, _ in found if not (noise and noise.intersection(prefixes(path)))]
-    return "\n".join(kept or [text for _, text, _ in found])
-
-
-@lru_cache(4096)
-def prefixes(path: str) -> tuple[int, ...]:
-    """Signed 64-bit names of those of a path's nodes, root first, that a host can have as noise.
-
-    An article itself and its plain paragraphs hold what the page is about, even on a host with copies of one article;
-    only below an element with a class, id or role of its own can its parts be a template's.
+                if k >= 0 and path[k][0] == "p":
+                    close(k)
+                    k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] in BLOCK), -1)
+                if k >= 0 and path[k][0] == name and name in _ITEMS:
+                    close(k)
+            if name in RAW:
+                raw = name
+            elif name in VOID:
+                if name in BLOCK:
+                    flush()
+            elif not (tag.endswith("/>") and name in ("path", "rect", "circle", "use")):
+                enter(name, attributes(tag, name))
+        flush()
+
+
+def main_text(page: str, importance: dict[int, float] | None = None, weigh: bool = True) -> str:
+    """The page's blocks whose nodes are important, joined by newlines.
+
+    importance: that of the host's nodes; a node that no other page of the host has is its weight times NEUTRAL.
     """
-    parts = path.split(">") if path else []
-    inner = max((k + 1 for k, x in enumerate(parts) if x.partition("[")[0] in _ARTICLE), default=0)
-    from_ = next((k for k in range(inner, len(parts)) if "[" in parts[k]), len(parts)) if inner else 0
-    return tuple(_name(">".join(parts[: k + 1])) for k in range(from_, len(parts)))
-
-
-def _name(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x.encode()) - 2**63
+    read, known = Page(page, weigh), importance or {}
+    worth = [known.get(node, read.nodes[node][1] * NEUTRAL) for node, _ in read.blocks]
+    least = max(IMPORTANCE, SHARE * max(worth, default=0.0))
+    return "\n".join(text for (_, text), w in zip(read.blocks, worth, strict=True) if w >= least)
 
 
 def host_of() -> Column:
@@ -206,64 +233,93 @@ def host_of() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _nodes(batches):
-    """Per page and style node: what the page shows below it, as a hash of its texts (content) and of its paths (style)."""
-    for batch in batches:
-        out: list[tuple] = []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            below: dict[int, list] = {}
-            for path, text, _ in blocks(page):
-                for node in prefixes(path):
-                    below.setdefault(node, []).append((path, text))
-            for node, items in below.items():
-                out.append((host, node, _name("\n".join(t for _, t in items)), _name("\n".join(p for p, _ in items))))
-        yield pa.record_batch([pa.array([x[k] for x in out], (pa.string(), pa.int64(), pa.int64(), pa.int64())[k]) for k in range(4)], names=["host", "node", "content", "shape"])
+_SEEN = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.bool_()), ("value", pa.int64()), ("ups", pa.list_(pa.int64())), ("weight", pa.float64()), ("n", pa.int64())])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Per host and style node: pages, importance.
+def _nodes(weigh: bool):
+    """Pages that show a shape (with the node's ancestors and weight) or a text at a node, added up over a batch."""
 
-    Content importance is the entropy of a node's contents over the host's pages that have it, as a share of the
-    greatest possible; presentation importance is the same for the styles below. The composite weighs them 4 to 1,
-    so a branch whose style varies while its words do not is still noise.
-    """
-    seen = pages.mapInArrow(_nodes, "host string, node long, content long, shape long")
-    # pairs are combined before the shuffle; a hot host has many nodes and contents, and each is a key of its own
-    counts = scratch(seen.groupBy("host", "node", "content", "shape").agg(F.count(F.lit(1)).alias("n")), "nodes")
-
-    def entropy(what: str) -> DataFrame:
-        by = counts.groupBy("host", "node", what).agg(F.sum("n").alias("n"))
-        of = by.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("x"))
-        share = F.when(F.col("pages") > 1, (F.log2("pages") - F.col("x") / F.col("pages")) / F.log2("pages")).otherwise(1.0)
-        return of.select("host", "node", "pages", share.alias(what))
+    def run(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                read = Page(page, weigh)
+                for node, (ups, weight, _) in read.nodes.items():
+                    seen[host, node, False, read.shape(node), ups, weight] += 1
+                for node, text in set(read.blocks):
+                    seen[host, node, True, _name(text), None, None] += 1
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*((*k, n) for k, n in seen.items()), strict=True), _SEEN, strict=True)] if seen else [pa.array([], f.type) for f in _SEEN], schema=_SEEN)
 
-    both = entropy("content").join(entropy("shape").drop("pages"), ["host", "node"])
-    return both.select("host", "node", "pages", (0.8 * F.col("content") + 0.2 * F.greatest("shape", "content")).alias("importance"))
+    return run
 
 
-def _extract(batches):
-    for batch in batches:
-        found = [main_text(page, frozenset(noise or ())) for page, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True)]
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"]
-        )
+def style_tree(pages: DataFrame, weigh: bool = True) -> DataFrame:
+    """Per host and style node that two pages or more have: pages, ups (its ancestors), weight, bits (entropy of its presentation),
+    content (importance of its texts; null if it holds none itself), importance (null as content).
 
-
-def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, importance: float = IMPORTANCE) -> DataFrame:
+    All counts are combined before they are shuffled, and every shape and text of a node is a key of its own, so a hot
+    host's parts are spread. pages: host, html.
+    """
+    seen = pages.mapInArrow(_nodes(weigh), "host string, node long, text boolean, value long, ups array<long>, weight double, n long")
+    counts = seen.groupBy("host", "node", "text", "value", "ups", "weight").agg(F.sum("n").alias("n"))
+    of = lambda c, text: F.sum(F.when(F.col("text") == text, c))
+    logs = F.col("n") * F.log2("n")
+    sums = counts.groupBy("host", "node").agg(
+        of(F.col("n"), False).alias("pages"), of(logs, False).alias("a"), of(F.col("n"), True).alias("units"), of(logs, True).alias("b"), F.max("ups").alias("ups"), F.max("weight").alias("weight")
+    )
+    each = sums.filter("pages > 1").select(
+        "host", "node", "pages", "ups", "weight", F.greatest(F.lit(0.0), F.log2("pages") - F.col("a") / F.col("pages")).alias("bits"),
+        F.when(F.col("units") > 0, F.greatest(F.lit(0.0), 1 - F.col("b") / F.col("units") / F.log2("pages"))).alias("content"),
+    )
+    each = scratch(each, "nodes")
+    top = each.groupBy("host").agg(F.max("bits").alias("top"))
+    # what surrounds a node, itself included; a key is a host's node
+    around = each.filter("content is not null").select("host", F.col("node").alias("leaf"), F.explode(F.concat("ups", F.array("node"))).alias("node"))
+    region = around.join(each.select("host", "node", "bits"), ["host", "node"]).groupBy("host", F.col("leaf").alias("node")).agg(F.max("bits").alias("region"))
+    both = each.join(region, ["host", "node"], "left").join(top, "host")
+    lively = (F.col("region") + LEAST_BITS) / (F.col("top") + LEAST_BITS)
+    more = F.col("pages") - 1
+    worth = F.col("weight") * (more * (REPEATED + (1 - REPEATED) * F.col("content")) * lively + PRIOR * NEUTRAL) / (more + PRIOR)
+    return both.select("host", "node", "pages", "ups", "weight", "bits", "content", F.round(worth, 9).alias("importance"))
+
+
+def _extract(weigh: bool):
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            found = []
+            hosts, nodes, worth = (batch.column(c) for c in ("host", "nodes", "worth"))
+            for k, (host, page) in enumerate(zip(hosts.to_pylist(), batch.column("html").to_pylist(), strict=True)):
+                if host not in held:
+                    if len(held) > 256:
+                        held.clear()
+                    held[host] = dict(zip(nodes[k].as_py() or (), worth[k].as_py() or (), strict=True))
+                found.append(main_text(page, held[host], weigh))
+            yield pa.record_batch(
+                [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"]
+            )
+
+    return run
+
+
+def extract_pages(pages: DataFrame, weigh: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every page row, from its whole html.
 
-    A null html is empty and gives an empty text, as does a page without main text. Pages without a host share one
-    tree under an empty host name. Repeated rows give rows each and count as pages each; other columns are ignored; an empty
-    table gives an empty result.
+    A null html is empty and gives an empty text, as does a page without main text; a text of any length is read whole. Pages
+    without a host share one tree under an empty host name. Repeated rows give rows each and count as pages each; a null
+    page_id stays null; other columns are ignored; an empty table gives an empty result. ``weigh``: as for Page.
 
-    Noise nodes are kept per host in one row, so a hot host's pages are joined to one row by broadcast while all hosts'
-    noise fits the session's broadcast limit, else shuffled with AQE splitting skewed hosts.
+    A host's nodes that hold text on two pages or more are kept in one row, joined by broadcast while all hosts' nodes
+    fit the session's broadcast limit, else shuffled with AQE splitting skewed hosts.
     """
     session(pages)
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of().alias("host"))
-    tree = style_tree(rows.select("host", "html")).filter((F.col("pages") >= least_pages) & (F.col("importance") < importance))
-    noise = scratch(tree.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("noise")), "noise")
-    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of().alias("host"))
+    tree = style_tree(rows.select("host", "html"), weigh).filter("importance is not null")
+    known = tree.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "importance"))).alias("x"))
+    known = scratch(known.select("host", F.col("x.node").alias("nodes"), F.col("x.importance").alias("worth")), "importance")
+    return rows.join(known, "host", "left").mapInArrow(_extract(weigh), "page_id long, url string, text string, n_chars long")
 
 
-op4_html_extract = extract_pages
+def op4_html_extract(pages: DataFrame) -> DataFrame:
+    """The contract's columns: page_id, url, text, n_chars."""
+    return extract_pages(pages)

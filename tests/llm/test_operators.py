@@ -490,16 +490,100 @@ def test_main_text():
     assert html_extract.main_text(PAGE).split("\n") == ["Title & more", "First bold words here", "Second", "line", "one", "two", "a b", "5 < 6 é …"]
     assert html_extract.main_text("") == "" and html_extract.main_text("bare &amp; text") == "bare & text"
     assert html_extract.main_text("<p>a<table><tr><td>1<td>2</table><p>b <unclosed") == "a\n1\n2\nb <unclosed"
-    assert html_extract.main_text("<article>x<script>if (a<b) y</script>z") == "xz" and html_extract.main_text("<div class='nav'>only</div>") == "only"
+    assert html_extract.main_text("<article>x<script>if (a<b) y</script>z") == "xz" and html_extract.main_text("<div class='nav'>only</div>") == ""
     assert html_extract.main_text("<p>" * 3000 + "deep") == "deep" and html_extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def host_pages(n, host="site.example", menu=6, seed=3):
+    """Pages without telling tags or classes: a menu that differs in one entry a page, a notice of other words each time,
+    a story of paragraphs, a footer."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    out = []
+    for k in range(n):
+        story = [" ".join(word() for _ in range(rng.randrange(3, 60))) for _ in range(rng.randrange(2, 12))]
+        entries = [f"Menu entry {m}" for m in range(menu) if m != k % menu] + [word()]
+        lists = "".join(f"<li><a href='/{m}'>{e}</a>" for m, e in enumerate(entries))
+        body = "".join(f"<p>{p}" for p in story)
+        page = f"<body><div class=x1><ul>{lists}</ul></div><div class=x2>{word()} {word()} {word()}</div><div class=x3><h1>{story[0][:20]}</h1>{body}</div><div class=x4>Site of {word()}</div></body>"
+        out.append((k, f"https://{host}/{k}", page, "\n".join([story[0][:20].strip(), *story])))
+    return out
+
+
+def test_style_tree_alone_finds_the_story(spark):
+    """No mark tells anything: what stays is the tree's work, and without the tree everything stays."""
+    rows = host_pages(60) + [(100 + k, u.replace("site", "other"), h, t) for k, u, h, t in host_pages(25, seed=8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, wanted string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df, weigh=False).collect()}
+    assert got == {k: t for k, _, _, t in rows}
+    assert not any(html_extract.main_text(h, weigh=False) == t for _, _, h, t in rows)
+
+
+def test_style_tree_on_the_given_pages(spark):
+    """The tree alone is right wherever a host has some pages; the weights alone are, too."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    held = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    want = {k: html_extract.main_text(f"<article>{m[1]}</article>") if (m := re.search("<article>(.*)</article>", h, re.S)) else "" for k, h in held.items()}
+    for weigh in (True, False):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, weigh).collect()}
+        assert got == want, weigh
+        assert weigh or all(html_extract.main_text(h, weigh=False) != want[k] for k, h in held.items())
+
+
+def plain_tree(pages):
+    """Entropy and importance of every host's nodes by their definitions, from lists of what pages show."""
+    shapes, found, told = defaultdict(list), defaultdict(list), {}
+    for host, page in pages:
+        read = html_extract.Page(page)
+        for node, (ups, weight, children) in read.nodes.items():
+            shapes[host, node].append(tuple(children))
+            told[host, node] = (ups, weight)
+        for node, text in set(read.blocks):
+            found[host, node].append(text)
+    bits = {}
+    for key, seen in shapes.items():
+        if len(seen) > 1:
+            share = [n / len(seen) for n in Counter(seen).values()]
+            bits[key] = -sum(p * np.log2(p) for p in share)
+    out = {}
+    for (host, node), b in bits.items():
+        n, texts = len(shapes[host, node]), found.get((host, node))
+        content = importance = None
+        if texts:
+            often = Counter(texts)
+            content = np.mean([1 - np.log2(often[t]) / np.log2(n) for t in texts])
+            ups, weight = told[host, node]
+            region, top = max(bits[host, x] for x in (*ups, node)), max(v for (h, _), v in bits.items() if h == host)
+            lively = (region + 0.25) / (top + 0.25)
+            importance = weight * ((n - 1) * (0.25 + 0.75 * content) * lively + 4 * 0.5) / (n - 1 + 4)
+        out[host, node] = (n, b, content, importance)
+    return out
+
+
+def test_entropy_and_importance(spark):
+    rows = [(u.split("/")[2], h) for _, u, h, _ in host_pages(30) + host_pages(9, "b.example", 3, 5)] + [("c.example", PAGE), ("c.example", PAGE), ("d.example", PAGE), ("", "")]
+    rows += [("e.example", f"<p>one<div class='ad'>two {k % 2}</div><article><p>three {k}</article>") for k in range(7)]
+    want = plain_tree(rows)
+    got = {(r["host"], r["node"]): (r["pages"], r["bits"], r["content"], r["importance"]) for r in html_extract.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    for k, x in want.items():
+        assert all((a is None and b is None) or abs(a - b) < 1e-6 for a, b in zip(got[k], x, strict=True)), (k, got[k], x)
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rows = [(k, f"https://u@Site.example:80/{k}", f"<body><div class=top>Welcome to the site</div><div class=text><p>Story {k} of its own</p></div><div class=note2>Same words {k % 2}</div>") for k in range(40)]
-    rows += [(100, "http://lone.example/", rows[0][2]), (101, None, None), (102, "junk", ""), (0, "https://site.example/0", rows[0][2])]
-    got = {(r["page_id"], r["url"]): r for r in html_extract.op4_html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[7, "https://u@Site.example:80/7"]["text"] == "Story 7 of its own"
-    assert got[100, "http://lone.example/"]["text"].startswith("Welcome") and got[101, None]["text"] == "" and got[101, None]["n_chars"] == 0 and len(got) == 44
+    rows += [(100, "http://lone.example/", rows[0][2]), (101, None, None), (102, "junk", ""), (0, "https://site.example/0", rows[0][2]), (None, "https://site.example/0", rows[1][2])]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({c: F.lit("x") for c in ("host", "node", "text", "n_chars", "nodes", "worth", "weight")})
+    got = {(r["page_id"], r["url"]): r for r in html_extract.op4_html_extract(df).collect()}
+    assert got[7, "https://u@Site.example:80/7"]["text"] == "Story 7 of its own" and got[None, "https://site.example/0"]["text"] == "Story 1 of its own"
+    assert got[100, "http://lone.example/"]["text"].startswith("Welcome") and got[101, None]["text"] == "" and got[101, None]["n_chars"] == 0 and len(got) == 45
+
+
+def test_very_long_pages(spark):
+    long = "<p>" + "word &amp; " * 400_000 + "</p>"
+    rows = [(1, "http://h/1", f"<article>{long}</article><nav>menu</nav>"), (2, "http://h/2", "<div>" * 100_000 + "deep" + "</div>" * 100_000), (3, "http://h/3", "<ul><li>" * 2000 + "x")]
+    got = {r["page_id"]: r["text"] for r in html_extract.op4_html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("word & " * 400_000).strip() and got[2] == "deep" and got[3] == "x"
 
 
 def test_article_copies_stay(spark):
