@@ -187,14 +187,49 @@ def test_shards_meet_again(spark):
     assert got.count() == 3000 and bins.filter("n <> end or n > 1024").isEmpty() and bins.count() <= 1.04 * total / 1024
 
 
-def test_local_search_never_hurts():
-    rng = np.random.default_rng(4)
-    for n in (1, 2, 30, 500):
-        lengths = rng.integers(1, 1024, n)
-        bad = [[k] for k in range(n)]
-        done = packing.local_search(lengths, bad)
-        assert sorted(sum(done, [])) == list(range(n)) and max(lengths[b].sum() for b in done) <= 1024
-        assert len(done) <= len(packing.best_fit(lengths)) + max(1, n // 10)
+def squares(lengths, bins):
+    return sum(int(lengths[b].sum()) ** 2 for b in bins)
+
+
+def test_every_step_of_the_search_gains():
+    """More than 10,000 steps: each raises the sum of squared fills by what it says, and nothing is lost."""
+    rng, steps = np.random.default_rng(4), 0
+    for n in (1, 2, 30, 500, 3000):
+        for low, high in ((1, 1024), (1, 200), (300, 700), (500, 530)):
+            lengths = rng.integers(low, high, n)
+            alone = [[k] for k in range(n)]
+            shuffled = [b.tolist() for b in np.array_split(rng.permutation(n), n)] if high > 512 else [b.tolist() for b in np.array_split(rng.permutation(n), -(-n // (1024 // high)))]
+            for start in (alone, shuffled, packing.best_fit(lengths)):
+                gains = []
+                done = packing.local_search(lengths, [list(b) for b in start], seen=gains.append)
+                assert all(g > 0 for g in gains) and squares(lengths, done) - squares(lengths, start) == sum(gains)
+                assert sorted(sum(done, [])) == list(range(n)) and max(lengths[b].sum() for b in done) <= 1024 and len(done) <= len(start)
+                steps += len(gains)
+    assert steps > 10_000
+
+
+def test_search_empties_bins_that_best_fit_leaves():
+    lengths = np.random.default_rng(1).integers(300, 700, 20_000)
+    first = packing.best_fit(lengths)
+    assert len(packing.local_search(lengths, [list(b) for b in first])) < len(first)
+
+
+def plain_best_fit(lengths, capacity=1024):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(capacity - n)
+    return sorted(room)
+
+
+def test_best_fit_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 400):
+        lengths = rng.integers(1, 1025, n)
+        assert sorted(1024 - int(lengths[b].sum()) for b in packing.best_fit(lengths)) == plain_best_fit(lengths.tolist())
 
 
 def test_fast_ids_equal_the_library():
@@ -208,6 +243,18 @@ def test_fast_ids_equal_the_library():
             assert packing.token_ids(s) == lib.encode(s, add_special_tokens=False).ids, hex(c)
     s = "x <|endoftext|>y"
     assert packing.token_ids(s) == lib.encode(s, add_special_tokens=False).ids and 50256 in packing.token_ids(s)
+    assert packing._encoder() is not None
+
+
+def test_the_library_decides_about_ids(monkeypatch):
+    """Where the fast way differs on the text that is checked, the library encodes all; where it can't be proved, it always does."""
+    texts = ["one", "two words", "three"]
+    want = [packing._library_ids(t) for t in texts]
+    monkeypatch.setattr(packing, "token_ids", lambda t: [0])
+    assert packing.checked_ids(texts) == want and packing.checked_ids([]) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "_encoder", lambda: None)
+    assert [packing.token_ids(t) for t in texts] == want
 
 
 # ---- 6
