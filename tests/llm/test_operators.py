@@ -209,9 +209,9 @@ def test_every_step_of_the_search_gains():
 
 
 def test_search_empties_bins_that_best_fit_leaves():
-    lengths = np.random.default_rng(1).integers(300, 700, 20_000)
+    lengths = np.random.default_rng(1).integers(200, 450, 5000)
     first = packing.best_fit(lengths)
-    assert len(packing.local_search(lengths, [list(b) for b in first])) < len(first)
+    assert len(packing.local_search(lengths, [list(b) for b in first])) < 0.97 * len(first)
 
 
 def plain_best_fit(lengths, capacity=1024):
