@@ -13,6 +13,8 @@ __all__ = ["NO_ID", "drop_scratch", "heavy_from", "id_back", "id_key", "lookup",
 NO_ID = 2**63 - 1
 #: A key with at least one row in HEAVY_PARTS of all rows is heavy, so there are HEAVY_PARTS heavy keys at most.
 HEAVY_PARTS = 1024
+#: In large tables so many rows make a key heavy already, as long as no more than MOST_HEAVY keys can have them.
+HEAVY_ROWS, MOST_HEAVY = 1 << 20, 1 << 17
 #: Rows in an Arrow batch: long texts must not add up in a Python worker.
 BATCH_ROWS = 512
 
@@ -76,15 +78,16 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def heavy_from(total: int) -> int:
-    """Rows that make a key heavy: at most HEAVY_PARTS keys can have so many of ``total`` rows."""
-    return max(2, -(-total // HEAVY_PARTS))
+    """Rows that make a key heavy: at most MOST_HEAVY keys (HEAVY_PARTS, up to HEAVY_PARTS * HEAVY_ROWS rows) can have so many of
+    ``total`` rows."""
+    return max(2, min(-(-total // HEAVY_PARTS), max(HEAVY_ROWS, -(-total // MOST_HEAVY))))
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows with one row of groups per key, where groups.size counts the rows of a key.
 
-    Keys with 1/HEAVY_PARTS of all rows or more number HEAVY_PARTS at most, so they are broadcast and their rows
-    stay where they are; all other keys are shuffled.
+    Heavy keys number MOST_HEAVY at most, so they are broadcast and their rows stay where they are; all other keys, each
+    of HEAVY_ROWS rows or few more at most, are shuffled to a join, which holds one row a key and lets the others stream.
     """
     least = heavy_from(total)
     heavy = F.broadcast(groups.filter(F.col(size) >= least))
@@ -98,7 +101,8 @@ def pick_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents, same columns, each as often as wanted says.
 
     wanted: key (id_key), version (xxhash64 of the text, null as empty), times: rows to give for all rows of that key and
-    version together. Repeated rows share the times evenly.
+    version together. Repeated rows share the times evenly; null ids are one key, null and empty texts one version; columns
+    of any name and texts of any length are passed on; rows without a wanted key, and an empty table, give nothing.
     """
     version = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(whole_row(docs).alias("row"), id_key().alias("row_key"), version.alias("row_version"))

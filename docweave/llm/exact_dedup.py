@@ -1,9 +1,10 @@
 """Exact deduplication with a heavy-hitter split.
 
 One pass over the texts yields a digest per document and, per partition, a Misra-Gries summary of the digests.
-Summaries add up, and every digest with a 1/HEAVY_PARTS share or more survives the sum. Their exact sizes and
-winners are computed with map-side combining (at most HEAVY_PARTS rows) and broadcast, so that copies of a very
-frequent text are resolved where they lie. All remaining digests are shuffled, a 40-byte row per document.
+Summaries add up, and every digest with a 1/HEAVY_PARTS share or more survives the sum, as what counters fall short by is
+allowed for. Their exact sizes and winners are computed with map-side combining (at most 4/3 HEAVY_PARTS rows) and
+broadcast, so that copies of a very frequent text are resolved where they lie. All remaining digests are shuffled, a 40-byte row
+per document, to a join with one winner a digest.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_PARTS, heavy_from, id_back, id_key, scratch, session, texts
+from .common import HEAVY_PARTS, id_back, id_key, scratch, session, texts
 
 _DELETE = b" \t\n\x0b\x0c\r"
 _SCHEMA = "summary boolean, doc_id long, n long, digest binary"
@@ -59,28 +60,29 @@ def exact_dedup(docs: DataFrame, counters: int = 4 * HEAVY_PARTS) -> DataFrame:
     """Group documents whose texts are identical without white space and name the row of each group that stays.
 
     Returns a row per input row: doc_id, n_chars, digest, keep_id, group_size, kept. The row with the most code
-    points stays, then the smallest doc_id, then (repeated rows) any one of them. A null text counts as empty and
+    points stays, then the smallest doc_id, then (repeated rows) one of them. Texts of any length are digested whole. A null text counts as empty and
     empty texts are a group like any other; a null doc_id sorts last. An empty table gives an empty result. Other
     columns are ignored.
     """
     session(docs)
-    made = scratch(texts(docs).mapInArrow(_digests(counters), _SCHEMA), "digests")
+    # rows are numbered once and written, so that all that follows sees the same numbers
+    made = texts(docs).mapInArrow(_digests(counters), _SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    made = scratch(made, "digests")
     rows = (
         made.filter(~F.col("summary"))
-        .select("doc_id", F.col("n").alias("n_chars"), "digest")
-        .withColumn("place", F.struct((-F.col("n_chars")).alias("short"), id_key().alias("id"), F.monotonically_increasing_id().alias("row")))
+        .select("doc_id", F.col("n").alias("n_chars"), "digest", F.struct((-F.col("n")).alias("short"), id_key().alias("id"), "row").alias("place"))
     )
     total = made.filter(~F.col("summary")).count()
-    frequent = (
-        made.filter("summary").groupBy("digest").agg(F.sum("n").alias("least")).filter(F.col("least") >= heavy_from(total))
-    )
-    # Counters never exceed true counts, so at most HEAVY_PARTS digests pass.
-    winners = rows.join(F.broadcast(frequent.select("digest")), "digest").groupBy("digest").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Counters never exceed true counts and fall short by total / counters at most: every digest with 1/HEAVY_PARTS of all
+    # rows passes, and no more than HEAVY_PARTS * counters / (counters - HEAVY_PARTS) digests do.
+    least = max(2, -(-total // HEAVY_PARTS) - total // counters)
+    frequent = made.filter("summary").groupBy("digest").agg(F.sum("n").alias("least")).filter(F.col("least") >= least)
+    winner = (F.min("place").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    winners = scratch(rows.join(F.broadcast(frequent.select("digest")), "digest").groupBy("digest").agg(*winner), "winners")
     heavy = rows.join(F.broadcast(winners), "digest")
-    w = Window.partitionBy("digest")
-    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "*", F.min("place").over(w).alias("best"), F.count(F.lit(1)).over(w).alias("group_size")
-    )
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # minima are combined before the shuffle; the join holds one row a digest, and its rows stream or are split
+    light = rest.join(rest.groupBy("digest").agg(*winner), "digest")
     return (
         heavy.unionByName(light)
         .withColumn("keep", F.col("best.id"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -103,10 +104,28 @@ def test_bitmaps_round_trip():
 # ---- 9
 
 
-def test_targets():
-    t = mixing.targets({"b": 100, "a": 10, None: 50, "c": 0})
-    assert float(t["a"]) == 30 and t["c"] == 0 and float(sum(t.values())) == 160 and t["b"] == 2 * t[None]
-    assert mixing.targets({}) == {} and mixing.targets({"x": 0}) == {"x": 0}
+def plain_targets(sizes):
+    """Exact targets by rounds over the open sources: weights 1, 2, 3 by turns in code point order, null last."""
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: Fraction(1 + k % 3) for k, s in enumerate(names)}
+    out, left = {}, Fraction(sum(sizes.values()))
+    while len(out) < len(names):
+        share = left / sum(weight[s] for s in names if s not in out)
+        above = [s for s in names if s not in out and weight[s] * share > 3 * sizes[s]]
+        if not above:
+            return out | {s: weight[s] * share for s in names if s not in out}
+        out |= {s: Fraction(3 * sizes[s]) for s in above}
+        left -= sum(3 * sizes[s] for s in above)
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(2)
+    many = {f"s{rng.random()}é": rng.choice([0, 1, 5, 10**6, 10**12 + rng.randrange(99)]) for _ in range(500)} | {None: 77, "": 3, "é": 8, "z": 9, "\U0001f600": 10, "\uffee": 11}
+    for sizes in ({"b": 100, "a": 10, None: 50, "c": 0}, many, {"x": 0}, {"x": 5}, {None: 4, "a": 10**15}, {}):
+        got = mixing.with_targets(spark.createDataFrame(list(sizes.items()), "mix__source string, source_size long")).collect()
+        want = plain_targets(sizes)
+        assert {r["mix__source"]: (r["target"], r["budget"]) for r in got} == {s: (float(t), int(t)) for s, t in want.items()}
 
 
 def test_mixing(docs, rows, empty):
@@ -114,7 +133,7 @@ def test_mixing(docs, rows, empty):
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += size(t)
-    goals = mixing.targets(dict(sizes))
+    goals = plain_targets(dict(sizes))
     got = mixing.op9_mix_sources(docs).collect()
     by_id = defaultdict(list)
     for i, t, s in rows:
@@ -132,6 +151,7 @@ def test_mixing(docs, rows, empty):
 
 def test_prefix_sums_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(mixing, "BLOCK_BITS", 2)
     df = spark.createDataFrame([(k, "w " * (k % 7), "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
     got = mixing.mix(df, mixing.word_count(), ["doc_id", "source"]).collect()
     for s in "ab":
@@ -739,7 +759,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
         biggest[s] = max(biggest[s], size(t))
     for r in mixed.collect():
         taken[r["source"]] += size(r["text"])
-    goals = mixing.targets(dict(sizes))
+    goals = plain_targets(dict(sizes))
     assert all(abs(taken[s] - goals[s]) <= biggest[s] / 2 + 1 for s in sizes)
     packed = stages["packing"](spark, mixed, sf_dir)
     assert packed.agg(F.sum("length")).first()[0] == sum(len(packing.token_ids(r["text"] or "")) + 1 for r in mixed.collect())
