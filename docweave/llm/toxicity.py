@@ -28,8 +28,6 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE = 24_000
 #: Toxic documents of the sample with an entry, at least; and the share of toxic ones among those that hold it.
 LEAST, PRECISION = 3, 0.9
-#: Bound of the lexicon's entries, the weightiest first.
-ENTRIES = 20_000
 STEM = range(4, 8)
 THRESHOLD = 0.3
 #: Greatest score of a text without a match.
@@ -161,16 +159,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return texts(docs).join(F.broadcast(marked), "doc_id").select("text", "toxic")
 
 
-def _count(pick: dict | None, toxic_only: bool):
-    """Documents of each class per entry; pick: only these entries."""
+def _count(pick, toxic_only: bool):
+    """Documents of each class per entry; pick: only these entries, a broadcast set."""
 
     def run(batches):
+        wanted = None if pick is None else pick.value
         for batch in batches:
             held: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if mark or not toxic_only:
                     found = terms(fold(text))
-                    held[int(bool(mark))].update(found if pick is None else found & pick.keys())
+                    held[int(bool(mark))].update(found if wanted is None else found & wanted)
             entries = [*held[0].keys() | held[1].keys()]
             yield pa.record_batch([pa.array(entries, pa.string()), *(pa.array([held[k][e] for e in entries], pa.int64()) for k in (1, 0))], names=["entry", "toxic", "clean"])
 
@@ -221,24 +220,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Learn entries, weights, exception phrases and scale from a bounded sample of the labelled documents.
 
-    Without a toxic label the lexicon is empty and every score the same, near 0.
+    Every entry with enough evidence is kept; the sample's bound is the only one. Without a toxic label the lexicon is
+    empty and every score the same, near 0. Labels of documents that aren't there, repeated labels, nulls in either table and
+    columns of other names change nothing; empty and repeated documents and very long ones are rows of the sample.
     """
-    session(docs)
+    spark = session(docs)
     rows = scratch(training_rows(docs, labels, sample), "labelled")
     sizes = {int(bool(r["toxic"])): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1):
         return Lexicon({}, set(), (-4.0, 0.0, 0.0, 0.0))
     counted = "entry string, toxic long, clean long"
     # candidates from the sample's toxic documents only; then both classes' documents that hold them
-    many = rows.mapInArrow(_count(None, True), counted).groupBy("entry").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= LEAST)
-    pick = dict.fromkeys(r["entry"] for r in many.select("entry").collect())
-    held = rows.mapInArrow(_count(pick, False), counted).groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= PRECISION * (F.col("t") + F.col("c"))).collect()
+    many = scratch(rows.mapInArrow(_count(None, True), counted).groupBy("entry").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= LEAST), "candidates")
     toxic, clean = sizes[1], sizes.get(0, 0)
     # so many more toxic than clean documents that chance makes less than half an entry of all that were tried
     rate = (toxic + 0.5) / (toxic + clean + 1)
-    surplus = min(log(2 * max(1, len(pick))) / log(1 / rate), toxic / 2)
+    surplus = min(log(2 * max(1, many.count())) / log(1 / rate), toxic / 2)
+    pick = spark.sparkContext.broadcast({r["entry"] for r in many.filter(F.col("n") >= surplus).select("entry").collect()})
+    held = rows.mapInArrow(_count(pick, False), counted).groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= PRECISION * (F.col("t") + F.col("c"))).collect()
     weights = {r["entry"]: log((r["t"] + 0.5) / (toxic + 1)) - log((r["c"] + 0.5) / (clean + 1)) for r in held if r["t"] - r["c"] >= surplus}
-    weights = {k: w for k, w in sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES] if w > 0}
+    weights = {k: w for k, w in sorted(weights.items()) if w > 0}
     seen = {r["entry"]: r["t"] for r in held}
     # a beginning stands for a family of forms: it goes if one longer entry covers it, else all longer ones go
     shares: dict[str, int] = {}
@@ -260,29 +261,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return Lexicon(weights, phrases, tuple(float(w) for w in scale))
 
 
-def _score(held):
+def _score(held, name: str):
     def run(batches):
         lexicon = held.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([lexicon.score(t) for t in batch.column("text").to_pylist()], pa.float64())],
-                names=[*batch.schema.names, "score"],
+                names=[*batch.schema.names, name],
             )
 
     return run
 
 
-def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The documents (all columns) and score: 0 to 1, from the text alone. Null and empty texts score like a text without
-    matches; every row is scored, repeated rows and null doc_ids too; an empty table gives an empty result.
+def score_documents(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """The documents (all columns) and last the score: 0 to 1, from the text alone. Null and empty texts score like a text
+    without matches, very long ones as a whole; every row is scored, repeated rows and null doc_ids too; an empty table gives an
+    empty result. Where the documents have a column ``name``, the score's has underscores after it.
 
-    The lexicon, ENTRIES entries at most, is broadcast.
+    The lexicon is broadcast; it holds no more entries than the bounded sample gave evidence for.
     """
     spark = session(docs)
-    if "score" in docs.columns:
-        raise ValueError("documents have a column score; rename it")
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
     held = spark.sparkContext.broadcast(lexicon)
-    return docs.mapInArrow(_score(held), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(_score(held, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +294,11 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, same columns, without those that score THRESHOLD or more."""
+    """The documents, same columns, without those that score THRESHOLD or more.
+
+    Null and empty texts have no match and stay; a very long text is scored whole; repeated rows score and stay or go alike;
+    columns of any name are passed on; labels as in learn(); an empty table gives an empty result.
+    """
     lexicon = learn(docs, labels)
     clean = score_documents(packed(docs), lexicon).filter(F.col("score") < THRESHOLD)
     return clean.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -512,6 +512,53 @@ def test_lexicon_and_exceptions():
     assert toxicity.Lexicon({}, set()).matches(" a ") == {}
 
 
+def plain_matches(lexicon, folded):
+    """Every place of every entry by search; the weightiest entry of a place counts, none that starts inside an exception phrase."""
+    places = lambda x: [k for k in range(len(folded)) if folded.startswith(x, k)]
+    best = {}
+    for entry, weight in lexicon.weights.items():
+        for k in places(entry):
+            if k not in best or weight > lexicon.weights[best[k]]:
+                best[k] = entry
+    spared = {j for p in lexicon.phrases for k in places(p) for j in range(k, k + len(p) - 1)}
+    return {k: e for k, e in best.items() if k not in spared}
+
+
+def test_matching_against_a_naive_search():
+    rng, hits = random.Random(7), 0
+    words = ["".join(rng.choice("abi") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    for _ in range(60):
+        entries = {(f" {w} " if rng.random() < 0.5 else f" {w}"): rng.random() + 0.1 for w in rng.sample(words, 8)}
+        phrases = {f" {rng.choice(words)} {rng.choice(words)} " for _ in range(30)}
+        lexicon = toxicity.Lexicon(entries, phrases)
+        for _ in range(20):
+            folded = toxicity.fold(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))))
+            want = plain_matches(lexicon, folded)
+            got = lexicon.matches(folded)
+            assert got.keys() == want.keys() and all(entries[got[k]] == entries[want[k]] for k in want)
+            hits += len(want)
+    assert hits > 500
+
+
+def test_held_out_accuracy(spark):
+    """On the given tables: hardly a clean document is called toxic, and those with words that training rows tell are found (the
+    others hold none of any entry)."""
+    for sf, recall in (("sf0.01", 0.6), ("sf0.1", 0.8)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        got = toxicity.op3_toxicity(docs, labels).join(labels, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+        n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+        print(sf, n)
+        assert n.get((1, 1), 0) >= recall * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.005 * n[0, 0]
+
+
+def test_scores_beside_clashing_columns(spark, docs, labels):
+    clash = docs.withColumn("score", F.lit("x")).withColumn("score_", F.lit(1))
+    got = toxicity.score_documents(clash.select("doc_id", "text", "score", "score_"), toxicity.Lexicon({" bad ": 3.0}, set(), (-2.0, 1.0, 0.0, 0.0)))
+    assert got.columns == ["doc_id", "text", "score", "score_", "score__"] and got.filter("score__ is null").isEmpty()
+    wide = labels.withColumns({c: F.lit("y") for c in ("text", "score", "entry", "n", "id", "toxic_", "held_out")})
+    assert toxicity.op3_toxicity(clash, wide).count() == docs.count() and toxicity.keep_clean(clash, wide).columns == clash.columns
+
+
 def test_toxicity_learns_from_training_folds_only(spark):
     rng, rows, marks = random.Random(1), [], []
     insult = {False: "grumblenaut", True: "heldoutword"}
