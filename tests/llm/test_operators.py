@@ -723,8 +723,8 @@ def plain_grams(line, m):
 
 def plain_licenses(text, m):
     out = []
-    for k, line in enumerate((text or "").split("\n")):
-        found = plain_grams(line, m)
+    for k, part in enumerate(re.split(licenses._PARAGRAPH, text or "")):
+        found = plain_grams(part, m)
         if not found:
             continue
         logits = m.bias + sum(np.round(m.weights[m.grams.index(g)], 6) for g in found)
@@ -738,13 +738,13 @@ def plain_licenses(text, m):
 
 def test_licenses(spark, docs, rows, empty):
     m = licenses.model()
-    assert m.accuracy > 0.95
+    assert m.accuracy > 0.6  # on templates that the fit did not see
     own = [(f, t) for f, t in licenses.TEMPLATES]
     texts = [(1000 + k, f"Some prose here.\n{t}\nMore.") for k, (_, t) in enumerate(own)] + [(2000 + k, t) for k, t in enumerate(licenses.OTHER)]
     texts += [(3000, "Release 2 under the MIT license, the general public said"), (3001, "ÉLicensed under CC BY-SA 3.0.é"), (3002, "licensed UNDER the gnu GENERAL public license, Version 2.\nReleased under the MIT License.")]
     texts += [(i, t) for i, t, _ in rows]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    want = sorted(((i, len((t or "").split("\n")), len(f := plain_licenses(t, m)), f[0][1] if f else None, ",".join(sorted({x for _, x in f})), f[0][0] if f else None) for i, t in texts), key=repr)
+    want = sorted(((i, len(re.split(licenses._PARAGRAPH, t or "")), len(f := plain_licenses(t, m)), f[0][1] if f else None, ",".join(sorted({x for _, x in f})), f[0][0] if f else None) for i, t in texts), key=repr)
     assert collect(licenses.op10_licenses(df), "doc_id", "n_paragraphs", "n_licenses", "family", "families", "paragraph") == want
     got = {r["doc_id"]: r for r in licenses.op10_licenses(df).collect()}
     assert sum(got[1000 + k]["family"] == f for k, (f, _) in enumerate(own)) >= 0.95 * len(own)
@@ -752,6 +752,53 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.op10_licenses(docs).count() == len(rows) and licenses.op10_licenses(empty).isEmpty()
 
 
+#: As licences are declared in documents; none is a template.
+DECLARED = [
+    ("MIT", "The MIT License"), ("MIT", "This library is distributed under the MIT License."), ("MIT", "It is under an MIT license"), ("MIT", "Code released under the MIT License. See LICENSE for details."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction"),
+    ("Apache", "Licensed under the Apache License, Version 2.0 (the License);"), ("Apache", "This file is licensed to you under the Apache License, Version 2.0"), ("Apache", "Apache License 2.0"),
+    ("GPL", "GNU GPL v3 or later"), ("GPL", "This program is licensed under the GNU General Public License, version 2, or any later version."), ("GPL", "You should have received a copy of the GNU General\nPublic License along with this program. If not, see the site."),
+    ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 3"), ("AGPL", "The server is licensed under the GNU Affero General Public License, version 3 or later."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"), ("BSD", "This code is released under the BSD 3-Clause License"), ("BSD", "Licensed under the BSD 2-Clause License."),
+    ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"), ("ISC", "Licensed under the ISC license"),
+    ("BSL", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"), ("BSL", "Boost Software License - Version 1.0 - August 17th, 2003"), ("EPL", "made available under the Eclipse Public License v2.0"), ("EUPL", "Licensed under the EUPL v1.2 or later"), ("Zlib", "This library is released under the zlib license"),
+    ("CC-BY", "This article is licensed under a Creative Commons Attribution 3.0 International License"), ("CC-BY-SA", "Text is available, licensed under CC BY-SA 3.0"), ("CC-BY-NC", "Licensed under CC BY-NC 4.0"), ("CC-BY-ND", "Photos licensed under CC BY-ND 2.0"),
+    ("Public-Domain", "Released under CC0 1.0 Universal"), ("Public-Domain", "This text is in the public domain"), ("Proprietary", "Copyright (c) 2019 Jane Doe. All rights reserved."), ("Proprietary", "All rights reserved."), ("Proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission"),
+]
+#: Prose that declares nothing; none is among the model's.
+PROSE = [
+    "He renewed his fishing license in May.", "The general said that the public had a right to know.", "Professors from MIT and Apache County met.", "The permission slip must be signed by a parent.", "You may copy the recipe, free of charge, from the board.",
+    "The foundation published a list of conditions for the prize.", "Creative writing needs attention and international readers.", "A boost to the economy is expected by the bank.", "The version of the story that she told was 2.0 times longer.", "All seats reserved for guests.",
+    "Copyright law is hard to understand.", "The domain is public knowledge.", "Distributed systems are hard; software fails.", "The source of the river is in the forms of two lakes.", "Any person with a driver's license may apply under the terms given.",
+]
+
+
+def test_license_recall_and_precision(spark):
+    """On lines as documents hold them, unseen by the fit: recall and precision, wrapped lines too."""
+    rows = [(k, f"Some story that ends.\n{t}\n\nAnd it goes on.") for k, (_, t) in enumerate(DECLARED)] + [(1000 + k, t) for k, t in enumerate(PROSE)]
+    got = {r["doc_id"]: r["families"] for r in licenses.op10_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right, false = sum(got[k] == f for k, (f, _) in enumerate(DECLARED)), sum(bool(got[1000 + k]) for k in range(len(PROSE)))
+    print("declared", len(DECLARED), "right", right, [(f, got[k], t) for k, (f, t) in enumerate(DECLARED) if got[k] != f], "prose with a licence", [PROSE[k] for k in range(len(PROSE)) if got[1000 + k]])
+    assert right >= 0.9 * len(DECLARED) and not false
+
+
+def test_licenses_on_the_given_documents(spark):
+    """All planted lines of sf0.01, whatever lines lie around them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = {"GPL": "This work is licensed under the GNU General Public License, version", "Proprietary": "All rights reserved.", "CC-BY-NC": "Licensed under CC BY-NC", "MIT": "Released under the MIT License.", "Apache": "Licensed under the Apache License, Version"}
+    want = {r["doc_id"]: ",".join(sorted(f for f, t in told.items() if t in (r["text"] or ""))) for r in docs.collect()}
+    got = {r["doc_id"]: r["families"] for r in licenses.op10_licenses(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) >= 20
+
+
+def test_repeats_are_combined_before_the_shuffle(spark):
+    """Many rows of one null id and one text are one hot group only if they are shuffled row by row."""
+    df = spark.createDataFrame([(None, "Released under the MIT License.")] * 300 + [(1, "x")], "doc_id long, text string")
+    assert {r["n_licenses"] for r in licenses.op10_licenses(df).collect()} == {0, 1}
+    plan = licenses.paragraphs(df)._jdf.queryExecution().executedPlan().toString()
+    assert re.search("Aggregate.*Exchange.*partial_first", plan, re.S)
+
+
 def test_license_plan_is_native(docs):
     plan = licenses.op10_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
