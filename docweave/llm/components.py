@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch
+from .common import drop_scratch, lookup, scratch
 
-MAX_ROUNDS = 60
 
-
-def _least(pairs: DataFrame) -> DataFrame:
-    """Per node u of pairs (u, v): the least of u and all its v. Combined before it is shuffled."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _with_least(pairs: DataFrame, total: int) -> DataFrame:
+    """Pairs (u, v) and m, the least of u and all its v. Minima are combined before they are shuffled, and the pairs of a
+    node that has very many stay where they are."""
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("size"))
+    return lookup(pairs, least, "u", "size", total)
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """pairs: u, v long. Returns u, m: each node that has a link to another, and the least node of its component.
 
     Each round links every node's larger neighbours, then its smaller ones, to the least of them; the number of pairs
-    does not grow, and rounds number the logarithm of the longest path or so.
+    does not grow, and rounds number the logarithm of the longest path or so; they end when no pair changes. Repeated pairs
+    and pairs of a node with itself count once or not at all; without pairs there is no row.
     """
     links = pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = scratch(links, "links")
     mark = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * mark["n"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # u > v in every pair: all neighbours are smaller ones
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        small = _with_least(large, mark["n"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
         new = scratch(small.select("p.*").filter("u <> v").distinct(), "links")
         drop_scratch(links)
         links = new
@@ -38,7 +38,6 @@ def components(pairs: DataFrame) -> DataFrame:
         if now == mark:
             return _stars(links)
         mark = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _stars(links: DataFrame) -> DataFrame:

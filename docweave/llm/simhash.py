@@ -219,29 +219,46 @@ def link_fingerprints(fps: DataFrame, masks: list[list[int]], distance: int, lim
 
     Returns pairs u, v of nodes that connect what links of ``distance`` bits or fewer within the buckets connect: a
     spanning forest per bucket, not all pairs. A bucket of ``limit`` fingerprints or more, such as a huge group of near
-    copies, is cut into parts, and every two parts meet in a bucket of their own: no task holds more than about
-    ``limit`` rows, none is left out, and the parts' pairs spread over the cluster.
+    copies, is cut into parts, each searched alone. What that connects needs no further pairs: only fingerprints outside
+    the bucket's largest component then meet all its parts. If these are many, every two parts meet in a bucket of their own.
+    No task holds more than about ``limit`` rows, none is left out, and the parts spread over the cluster.
     """
     spark, words = fps.sparkSession, [c for c in fps.columns if c != "node"]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     # One hash per choice and agreeing bits: a chance collision adds a comparison, never a link.
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, mask, strict=True) if m)) for k, mask in enumerate(masks)))
-    dealt = fps.select("node", *words, F.explode(keys).alias("bucket"))
     ranks = [gray_rank(F.col(w)).bitwiseXOR(F.lit(-(2**63))) for w in words]
-    out = None
-    while True:
+
+    def search(dealt: DataFrame) -> DataFrame:
         ordered = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *ranks)
+        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 65536)  # rows of a few longs
-        found = scratch(ordered.select("bucket", "node", *words).mapInArrow(_links(distance, limit), "u long, v long, hot boolean"), "links")
-        session(fps)
+        try:
+            return scratch(ordered.select("bucket", "node", *words).mapInArrow(_links(distance, limit), "u long, v long, hot boolean"), "links")
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+    dealt, out = fps.select("node", *words, F.explode(keys).alias("bucket")), None
+    while True:
+        found = search(dealt)
         pairs = found.filter("not hot").select("u", "v")
         out = pairs if out is None else out.unionByName(pairs)
-        hot = found.filter("hot").select(F.col("u").alias("bucket"), F.ceil(F.col("v") / max(1, limit // 4)).alias("parts"))
-        if hot.isEmpty():
+        # a row per hot bucket, of ``limit`` rows or more each
+        hot = scratch(found.filter("hot").select(F.col("u").alias("bucket"), F.col("v").alias("rows"), F.ceil(F.col("v") / max(1, limit // 4)).alias("parts")), "hot")
+        total = hot.agg(F.sum("rows")).first()[0]
+        if not total:
             return out
-        split = dealt.join(hot, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        dealt = split.select("node", *words, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+        split = scratch(lookup(dealt, hot, "bucket", "rows", total).filter("parts is not null").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("parts"))), "split")
+        within = lambda part: F.xxhash64("bucket", part).alias("bucket")
+        out = out.unionByName(search(split.select("node", *words, within("own"))).filter("not hot").select("u", "v"))
+        label = components(out)
+        open_ = scratch(split.drop("rows").join(label.withColumnRenamed("u", "node"), "node", "left").withColumn("of", F.coalesce("m", "node")).drop("m"), "open")
+        each = open_.groupBy("bucket", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "of")).alias("most"))
+        each = scratch(each.select("bucket", "rows", F.col("most.of").alias("most"), (F.col("rows") - F.col("most.n")).alias("few")), "buckets")
+        rows = lookup(open_, each, "bucket", "rows", total).filter("few > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        star = F.col("few") <= max(1, limit // 4)
+        met = rows.filter(star & ((F.col("of") != F.col("most")) | (F.col("other") == F.col("own")))).select("node", *words, within("other"))
+        dealt = scratch(met.unionByName(rows.filter(~star).select("node", *words, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))), "dealt")
 
 
 def _group(rows: DataFrame, words: list[str], masks, distance: int) -> DataFrame:
