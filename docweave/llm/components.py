@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, lookup, scratch
+from .common import drop_scratch, scratch
 
 
-def _with_least(pairs: DataFrame, total: int) -> DataFrame:
-    """Pairs (u, v) and m, the least of u and all its v. Minima are combined before they are shuffled, and the pairs of a
-    node that has very many stay where they are."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("size"))
-    return lookup(pairs, least, "u", "size", total)
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) and m, the least of u and all its v.
+
+    Minima are combined before they are shuffled. The join holds one row a node; the pairs of a node that has very many
+    stream past it, and AQE splits them once they exceed a partition's size."""
+    return pairs.join(pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "u")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def components(pairs: DataFrame) -> DataFrame:
     mark = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * mark["n"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # u > v in every pair: all neighbours are smaller ones
-        small = _with_least(large, mark["n"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
         new = scratch(small.select("p.*").filter("u <> v").distinct(), "links")
         drop_scratch(links)
         links = new
