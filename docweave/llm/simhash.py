@@ -31,6 +31,8 @@ FANOUT = 8
 BUCKET = 256
 #: Node pairs that are compared at once, and rows that are indexed at once: they bound a task's memory.
 PAIRS, ROWS = 1 << 16, 1 << 18
+#: Pairs that are verified between two looks at what is connected by then.
+CHUNK = 256
 
 
 def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -100,16 +102,32 @@ class _Union:
             self.label = parent[self.label]
 
 
-def link_sorted(fp: np.ndarray, bucket: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """fp: distinct fingerprints, a row of 64-bit words each, sorted by bucket and Gray rank. Returns for each row the
-    first row of its bucket that it is connected with by links of ``distance`` bits or fewer.
+def link_sorted(fp: np.ndarray, bucket: np.ndarray, distance: int = DISTANCE, label: np.ndarray | None = None, linked=None) -> np.ndarray:
+    """fp: fingerprints, a row of 64-bit words each, sorted by bucket and Gray rank. Returns for each row the first row of its
+    bucket that it is connected with by links of ``distance`` bits or fewer.
+
+    ``label``: the first row with which a row is known to be connected. ``linked(a, b)``: which of the pairs of rows within the
+    distance are links indeed, for arrays a and b; it is asked about rows that aren't connected yet.
     """
     n, width = fp.shape
     union = _Union(n)
+    if label is not None:
+        union.label = label.copy()
     if n < 2:
         return union.label
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        if linked is None:
+            return union.join(a, b)
+        for k in range(0, len(a), CHUNK):
+            x, y = a[k : k + CHUNK], b[k : k + CHUNK]
+            apart = union.label[x] != union.label[y]
+            x, y = x[apart], y[apart]
+            if len(x) and (yes := linked(x, y)).any():
+                union.join(x[yes], y[yes])
+
     near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (_popcount(fp[1:] ^ fp[:-1]) <= distance))
-    union.join(near, near + 1)
+    join(near, near + 1)
     # levels of nodes, leaves first: value, mask, bucket, first child, end of children
     levels = [(fp, np.full((n, width), 2**64 - 1, "u8"), bucket, np.arange(n), np.arange(1, n + 1))]
     rows_of = [np.arange(n)]  # first row below each node
@@ -151,7 +169,7 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, distance: int = DISTANCE) ->
         if not len(a):
             continue
         if level == 0:
-            union.join(a, b)
+            join(a, b)
             known.clear()
             continue
         na, nb = end[a] - first[a], end[b] - first[b]
@@ -292,15 +310,18 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates at a given likeness: bands of min-hash values give candidates, their shingle sets decide.
+# Near duplicates at a given likeness: bands of min-hash values let texts meet, the Gray-order index of wide SimHash
+# fingerprints prunes what meets in large buckets, and shingle sets decide.
 
 LIKE_WORDS, LIKENESS = 5, 0.8
 #: A pair of similarity s meets if all BAND values of one of BANDS bands agree: 1 - (1 - s**7)**32, that is 0.9995 at 0.8.
 BANDS, BAND, BINS = 32, 7, 256
-#: A bucket with more open pairs than this a row first meets one of its rows, in STARS rounds at most; then all its pairs follow.
-EACH, STARS = 4, 3
-#: Rows of a bucket that meet the others in one task.
+#: Buckets of more rows first meet one of them, and then go through the index.
+SMALL = 9
+#: Rows of a large bucket that meet as many others in one task.
 PART = 512
+#: 64-bit words of a wide fingerprint, and standard errors by which a pair at the likeness may differ more than it should.
+WIDE, ERRORS = 8, 4.5
 
 
 def shingle_set(text: str, words: int = LIKE_WORDS) -> np.ndarray:
@@ -372,53 +393,122 @@ def verified(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return scratch(pairs.select("u", "v", "u_set", "v_set").mapInArrow(_alike(likeness), "u long, v long"), "alike")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words of 64 bits from a shingle set: a bit is 1 if it is in more than half of the shingles' mixed hashes."""
+    steps = (np.arange(1, WIDE + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    total = np.zeros(64 * WIDE, "i8")
+    for k in range(0, len(hashes), 1 << 12):
+        x = hashes[k : k + (1 << 12), None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view("u1").reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("u8")
+
+
+def wide_distance(likeness: float) -> int:
+    """Bits in which the wide fingerprints of two sets of this Jaccard similarity differ at most, but for ERRORS standard errors.
+
+    Large sets of one size and similarity s have a cosine of 2s/(1+s), those of other sizes a greater one. Of small sets, whose
+    sums are no normal variates, four shingles of five differ most: 3 bits in 16.
+    """
+    bits = 64 * WIDE
+    differs = max(float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), 3 / 16)
+    return int(bits * differs + ERRORS * (bits * differs * (1 - differs)) ** 0.5)
+
+
+def _wide(batches):
+    for batch in batches:
+        found = [wide_fingerprint(np.frombuffer(x, "u8")) for x in batch.column("shingles").to_pylist()]
+        words = np.array(found, "u8").reshape(len(found), WIDE).view("i8")
+        yield pa.record_batch([batch.column("node"), batch.column("shingles"), *(pa.array(words[:, k]) for k in range(WIDE))], names=["node", "shingles", *(f"w{k}" for k in range(WIDE))])
+
+
+def _search_alike(likeness: float):
+    """Links of rows sorted by bucket and Gray rank, as a spanning forest of what the rows' labels don't connect yet."""
+    distance = wide_distance(likeness)
+
+    def links(rows):
+        node, of, words, sets = zip(*rows, strict=True)
+        node, of = np.array(node), np.array(of)
+        held: dict = {}
+
+        def members(k: int) -> frozenset:
+            if k not in held:
+                held[k] = frozenset(np.frombuffer(sets[k], "u8").tolist())
+            return held[k]
+
+        def linked(a, b):
+            out = np.zeros(len(a), bool)
+            for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                x, y = members(x), members(y)
+                both = len(x & y)
+                out[at] = both >= likeness * (len(x) + len(y) - both)
+            return out
+
+        _, first, back = np.unique(of, return_index=True, return_inverse=True)
+        label = link_sorted(np.array(words, "i8").view("u8"), np.zeros(len(node), "i8"), distance, first[back], linked)
+        new = np.flatnonzero(label != first[back])
+        return pa.record_batch([pa.array(node[new], pa.int64()), pa.array(node[label[new]], pa.int64())], names=["u", "v"])
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            words = zip(*(batch.column(f"w{k}").to_pylist() for k in range(WIDE)), strict=True)
+            for bucket, *row in zip(batch.column("bucket").to_pylist(), batch.column("node").to_pylist(), batch.column("of").to_pylist(), words, batch.column("shingles").to_pylist(), strict=True):
+                if bucket != at and rows:
+                    yield links(rows)
+                    rows = []
+                at = bucket
+                rows.append(row)
+        if rows:
+            yield links(rows)
+
+    return run
+
+
 def _link_alike(shared: DataFrame, sets: DataFrame, likeness: float) -> DataFrame | None:
     """shared: bucket, node. Returns u, m as components() does, of the verified links of nodes that share a bucket; None if none do.
 
-    Every pair of a bucket is verified, or left out because verified links connect it already. A bucket with many pairs,
-    such as a huge group of near copies, meets one row of it first; what that connects needs no pairs of its own.
+    All pairs of a small bucket are verified. A larger one, such as a huge group of near copies, first meets one of its rows;
+    what that leaves outside its largest component then meets all its rows, in parts of PART by PART, where the index prunes and
+    no pair is formed of rows that are connected by then. So no pair of a large bucket is ever a row of a table.
     """
-    found, label = None, None
-    for turn in range(STARS + 1):
-        if label is None:
-            rows = shared.select("bucket", "node", F.col("node").alias("of"))
-        else:
-            rows = shared.join(label.withColumnRenamed("u", "node"), "node", "left").select("bucket", "node", F.coalesce("m", "node").alias("of"))
-        rows = scratch(rows, "open")
-        each = rows.groupBy("bucket", "of").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("star"))
-        each = each.groupBy("bucket").agg(
-            F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.max(F.struct("n", "of")).alias("most"), F.min(F.struct("star", "of")).alias("star")
-        )
-        pairs = (F.col("size") * F.col("size") - F.col("square")) / 2
-        whole = F.lit(True) if turn == STARS else pairs <= EACH * F.col("size")
-        each = each.filter(pairs > 0).select(
-            "bucket", "size", F.col("most.of").alias("most"), F.col("star.star.node").alias("star"), F.col("star.of").alias("star_of"), whole.alias("whole")
-        )
-        rows = scratch(lookup(rows, scratch(each, "buckets"), "bucket", "size", rows.count()).filter("size is not null"), "open")
-        starred = rows.filter("not whole")
-        # all pairs of a bucket: what is outside its largest component goes to every part of it
-        parts = F.ceil(F.col("size") / PART)
-        few = rows.filter("whole and of <> most").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("x"), F.col("of").alias("x_of"))
-        many = rows.filter("whole").select("bucket", F.pmod(F.xxhash64("node", "bucket"), parts).alias("part"), F.col("node").alias("y"), F.col("of").alias("y_of"))
-        met = few.join(many, ["bucket", "part"]).filter("x_of <> y_of").select("x", "y")
-        met = met.unionByName(starred.filter("of <> star_of").select(F.col("node").alias("x"), F.col("star").alias("y")))
-        met = scratch(met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "met")
-        if met.isEmpty():
-            break
-        new = verified(met, sets, likeness)
-        found = new if found is None else found.unionByName(new)
-        label = components(found)
-        shared = starred.select("bucket", "node")
-        if shared.isEmpty():
-            break
-    return label
+    spark = shared.sparkSession
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("star"))
+    total = shared.count()
+    rows = scratch(lookup(shared, sizes.select("bucket", "size", F.col("star.node").alias("star")), "bucket", "size", total), "open")
+    small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
+    met = small.select("bucket", F.col("node").alias("x")).join(small.select("bucket", F.col("node").alias("y")), "bucket").filter("x < y").select("x", "y")
+    met = met.unionByName(large.filter("node <> star").select(F.col("node").alias("x"), F.col("star").alias("y")))
+    met = scratch(met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "met")
+    if met.isEmpty():
+        return None
+    found = verified(met, sets, likeness)
+    label = components(found)
+    open_ = scratch(large.select("bucket", "node").join(label.withColumnRenamed("u", "node"), "node", "left").select("bucket", "node", F.coalesce("m", "node").alias("of")), "open")
+    each = open_.groupBy("bucket", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "of")).alias("most"))
+    each = each.select("bucket", "size", F.col("most.of").alias("most"), (F.col("size") - F.col("most.n")).alias("few"))
+    rows = scratch(lookup(open_, each, "bucket", "size", total).filter("few > 0"), "unconnected")
+    if rows.isEmpty():
+        return label
+    part = lambda size, salt: F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.ceil(F.col(size) / PART))
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(size) / PART) - 1))
+    many = rows.withColumn("p", part("size", 0)).withColumn("q", every("few"))
+    few = rows.filter("of <> most").withColumn("q", part("few", 1)).withColumn("p", every("size"))
+    dealt = scratch(many.unionByName(few).select(F.xxhash64("bucket", "p", "q").alias("bucket"), "node", "of").distinct(), "dealt")
+    wide = scratch(sets.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_wide, "node long, shingles binary, " + ", ".join(f"w{k} long" for k in range(WIDE))), "wide")
+    ranks = [gray_rank(F.col(f"w{k}")).bitwiseXOR(F.lit(-(2**63))) for k in range(WIDE)]
+    ordered = dealt.join(wide, "node").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *ranks)
+    new = scratch(ordered.mapInArrow(_search_alike(likeness), "u long, v long"), "links")
+    return label if new.isEmpty() else components(found.unionByName(new))
 
 
 def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = LIKENESS) -> DataFrame:
     """Group documents connected by pairs whose sets of shingles of ``words`` have a Jaccard similarity of ``likeness`` or more.
 
     Pairs that share a band of min-hash values are verified by their whole sets of 64-bit shingle hashes, so no pair below
-    the likeness is a link; of the pairs at 0.8 the bands miss about 0.0005 by their formula. Returns a row per input row: doc_id, version (hash
+    the likeness is a link; of the pairs at 0.8 the bands miss about 0.0005 by their formula, the index about 0.000003. Returns a row per input row: doc_id, version (hash
     of the text), component_id, first (its key), root (names the group, also where groups share a key). Texts without
     words are one group. Nulls, repeats and other columns as in near_duplicates().
     """
@@ -444,7 +534,12 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of like documents, same columns: the smallest doc_id's (its first row if it repeats)."""
+    """One document of each group of like documents, same columns: the smallest doc_id's (one row if it repeats).
+
+    Null ids come last, and of rows with one id the least text hash's stays. Null and empty texts and those of white space are
+    a group; very long texts are compared whole; equal and repeated rows are one document; columns of any name are passed on;
+    an empty table gives an empty result.
+    """
     # groups of null ids alone share a key, as do those of a doc_id with several texts: each group is a root of its own
     keep = like_documents(docs).groupBy("root").agg(F.min(F.struct(id_key().alias("key"), "version")).alias("own"))
     return pick_rows(docs, keep.select("own.key", "own.version", F.lit(1).cast("long").alias("times")))

@@ -393,6 +393,21 @@ def test_index_finds_all_links(width):
         assert (simhash.link_sorted(f, np.zeros(n, "i8")) == label).all()
 
 
+def test_the_index_prunes_no_link():
+    """Sets of every size at a similarity of 0.8 or a little more differ in fewer bits than the index prunes at."""
+    rng, most = np.random.default_rng(3), 0
+    for n in (4, 5, 6, 8, 9, 10, 13, 20, 45, 90, 300, 900):
+        for _ in range(150):
+            union = rng.integers(0, 2**63, n, dtype="u8")
+            gone = int(0.2 * n)
+            cut = int(rng.integers(0, gone + 1))
+            a, b = union[cut:], np.concatenate([union[:cut], union[gone:]])
+            assert len(np.intersect1d(a, b)) >= 0.8 * n
+            x, y = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
+            most = max(most, int(np.bitwise_count(x ^ y).sum()))
+    assert 90 < most <= simhash.wide_distance(0.8) < 150
+
+
 def test_choices_are_complete():
     for blocks in (6, 7, 9):
         masks = simhash.choices(blocks)
