@@ -60,10 +60,13 @@ def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The table's session, made ready for Python workers: they find this package, and batches are small."""
-    spark = prepare(df.sparkSession)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """The table's session, made ready for Python workers: they find this package, and batches are of BATCH_ROWS rows at most.
+
+    A smaller setting of the caller's stays; a larger one is lowered for good, as plans read it only when they run.
+    """
+    spark, name = prepare(df.sparkSession), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
     return spark
 
 

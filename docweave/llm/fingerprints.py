@@ -159,8 +159,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     Ranges of doc_id are dealt to partitions and sorted, so neighbours meet in one stream; only the last text of each
     range meets the first one of the next range in a join with a row per range. Bounds and ends of ranges are worked out
     once, from the ids alone, so all plans and retried tasks see the same ones; the driver holds a row per range. A
-    null text is empty, a null doc_id sorts last, repeated rows follow one another; one document alone follows itself.
-    An empty table gives an empty result. Other columns are ignored.
+    null text is empty, a null doc_id sorts last, repeated rows and rows of one id follow one another in the order of their texts;
+    very long texts are read and edited whole; one document alone follows itself. An empty table gives an empty result. Other columns are ignored.
     """
     spark = session(docs)
     rows = texts(docs).select("doc_id", "text", id_key().alias("key"))

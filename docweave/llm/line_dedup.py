@@ -106,7 +106,8 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
 
     Keys of MIN_CHARS code points or more that at least two documents hold lose all their lines except in the
     smallest doc_id. Repeated rows of a document count as one document and lose the same lines; a null doc_id is one
-    document that sorts last. Null and empty texts have one empty line, which stays. An empty table gives no rows.
+    document that sorts last. Null and empty texts have one empty line, which stays; very long texts are read whole, line by
+    line. An empty table gives no rows; other columns are ignored.
     """
     session(docs)
     lines = scratch(texts(docs).select(id_key().alias("id"), "text").mapInArrow(_hash_lines, _LINES), "lines")
@@ -132,7 +133,11 @@ def kept_lines(text: str, bitmap: bytes | None, n_bits: int | None) -> list[str]
 
 
 def with_bitmaps(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) with n_dropped, n_bits and bitmap in a struct named kept__ (null: all lines stay)."""
+    """The documents (all columns) with n_dropped, n_bits and bitmap in a struct named kept__ (null: all lines stay).
+
+    Rows as in line_bitmaps(). Only columns that begin with ``kept__`` would clash: op5_line_dedup() and rebuild() hand over
+    the id, the text and a struct of the rest.
+    """
     found = line_bitmaps(docs).select(
         F.col("id").alias("kept__id"), F.col("version").alias("kept__version"), F.struct("n_dropped", "n_bits", "bitmap").alias("kept__")
     )
@@ -156,7 +161,7 @@ def _digest(batches):
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, n_lines, n_dropped, kept_sha256."""
+    """The contract's columns: doc_id, n_lines, n_dropped, kept_sha256, a row per input row; odd rows as in line_bitmaps()."""
     return with_bitmaps(texts(docs)).mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -172,7 +177,8 @@ def _rebuild(batches):
 def rebuild(docs: DataFrame) -> DataFrame:
     """The documents, same columns, with their dropped lines gone (n_chars, where there is one, follows).
 
-    Documents all of whose lines go keep an empty text; a null text stays null.
+    Documents all of whose lines go keep an empty text; a null text stays null; columns of any name are passed on; other odd rows
+    as in line_bitmaps().
     """
     rows = packed(docs)
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("row", rows.schema["row"].dataType)])

@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """Group documents whose fingerprints are connected by links of ``distance`` differing bits or fewer.
 
     Returns a row per input row: doc_id, fp (signed long), component_id (the smallest doc_id of the group). Null and
-    empty texts and texts of white space have fingerprint 0, linked like any other; repeated rows give rows each; a
+    empty texts and texts of white space have fingerprint 0, linked like any other; very long texts are read whole; repeated
+    rows give rows each; a
     null doc_id sorts last and a group of null ids alone has a null component_id. An empty table gives an empty
     result. Other columns are ignored.
     """

@@ -101,7 +101,8 @@ def _counts(name: str, limit: int, chunk: int):
 def token_counts(docs: DataFrame, name: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of every row; a narrow pass without a shuffle.
 
-    A null text counts as empty (no bytes, no tokens); repeated rows and null doc_ids give rows like any other; an
+    A null text counts as empty (no bytes, no tokens); texts of more than ``chunk`` code points are counted by count_huge(),
+    however long; repeated rows and null doc_ids give rows like any other; an
     empty table gives an empty result. Other columns are ignored. ``name`` is a file of the public tokenizers.
     """
     session(docs)

@@ -298,6 +298,59 @@ def test_huge_texts_without_easy_boundaries(text):
 # ---- 1
 
 
+def plain_fingerprint(text):
+    """A fingerprint from its definition, bin by bin: only the order in which empty bins look for full ones is taken as given."""
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    words = re.findall(f"[^{SPACE}]+", words)
+    if not words:
+        return None
+    shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    least = {}
+    for x in shingles:
+        h = xxhash.xxh3_64_intdigest(x.encode(), 11)
+        least[h >> 55] = min(h, least.get(h >> 55, h))
+    order = fingerprints._probes(512)
+    return [(least[k] if k in least else least[next(j for j in order[k].tolist() if j in least)]) & 15 for k in range(512)]
+
+
+def test_bins_densification_and_packing(rows):
+    """Also of texts with few shingles, which leave most bins empty."""
+    import base64
+
+    for t in [t for _, t, _ in rows if t is not None] + ["a b c d e f", "x " * 7, " ".join(map(str, range(700))), "É é a\x0bb"]:
+        want, got = plain_fingerprint(t), fingerprints.bin_values(t)
+        assert (got is None) == (want is None) and (want is None or got.tolist() == want)
+        bits = "" if want is None else "".join(f"{v:04b}"[::-1] for v in want)
+        assert base64.b64decode(fingerprints.fingerprint(t)) == bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+    a, b = plain_fingerprint(rows[8][1]), plain_fingerprint(rows[8][1] + " and some more words at the end of it")
+    share = sum(x == y for x, y in zip(a, b, strict=True)) / 512
+    assert fingerprints.likeness(np.array(a, "u1"), np.array(b, "u1")) == pytest.approx((share - 1 / 16) / (15 / 16))
+    orders = fingerprints._probes(512)
+    assert all(sorted(o) == list(range(512)) for o in orders.tolist()[:50]) and len({tuple(o[:4]) for o in orders.tolist()}) > 500
+
+
+def test_texts_of_megabytes(spark):
+    """Every operator on texts of several megabytes, with and without lines and words."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(500_000)]
+    long = " ".join(words)
+    rows = [(1, long, "a"), (2, long.replace(" ", "\n", 200_000), "a"), (3, "z" * 2_000_000, "b"), (4, long + " end", "b"), (5, "short", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.op1_fingerprints(df).collect()} == {i: len(t) for i, t, _ in rows}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.op2_simhash(df.filter("doc_id <> 3")).collect()} == {i: f"{simhash.simhash(t):016x}" for i, t, _ in rows if i != 3}
+    assert {r["doc_id"] for r in toxicity.score_documents(df, toxicity.Lexicon({" w1 ": 1.0}, set(), (-2.0, 1.0, 0.0, 0.0))).filter("score > 0.3").collect()} == {1, 2, 4}
+    want = sorted((x[:4] for x in plain_lines(rows)), key=repr)
+    assert collect(line_dedup.op5_line_dedup(df), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    model, _ = token_counts._model(token_counts.MODEL)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.op6_token_counts(df.filter("doc_id in (1, 5)")).collect()} == {1: len(model.encode(long)), 5: len(model.encode("short"))}
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.op7_exact_dedup(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    packed = packing.op8_pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed if r["doc_id"] != 3} == {i: len(packing.token_ids(t)) + 1 for i, t, _ in rows if i != 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.op9_mix_sources(df).collect()} == {1: 500_000, 2: 500_000, 3: 1, 4: 500_001, 5: 1}
+    assert licenses.op10_licenses(df).filter("n_licenses > 0").isEmpty()
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {1, 3, 5}
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprints.op1_fingerprints(docs).collect()
     ordered = sorted(((order(i), t or "", i) for i, t, _ in rows), key=lambda x: (x[0], x[1].encode()))
