@@ -292,7 +292,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), F.posexplode(split_paragraphs(F.col("text"))).alias("paragraph", "part")
     )
     found = each.select("doc_id", "version", "paragraph", _paragraph_grams(F.col("part"), m).alias("grams")).filter(F.size("grams") > 0)
-    return found.groupBy("doc_id", "version", "paragraph").agg(F.first("grams").alias("grams"))
+    # equal texts have equal n-grams; unlike first(), max() lets Spark use the shuffle twice
+    return found.groupBy("doc_id", "version", "paragraph").agg(F.max("grams").alias("grams"))
 
 
 def find_licenses(docs: DataFrame, probability: float = PROBABILITY, confirmed: float = CONFIRMED) -> DataFrame:
