@@ -147,14 +147,19 @@ class Converted:
     detail: Column
 
 
-
-
 def convert(f: Field, value: Column, kind: str) -> Converted:
     """The value of source type ``kind`` (a Spark type name) under the pair's rule. Null stays null and needs no look."""
     found, legend = rule(f), f.legend
     present, nothing = value.isNotNull(), F.lit(None).cast("string")
     text = value.cast("string")
     plain = lambda x: Converted(x, F.lit(False), nothing)
+
+    def tried(kind: str) -> tuple[Column, Column, Column]:
+        """The value as a type, or null where it can't be one: then a person must look, and the table's other rows go on."""
+        made = value.try_cast(kind)
+        bad = present & made.isNull()
+        return made, bad, F.when(bad, F.concat(F.lit("The value "), text, F.lit(f" is no {kind}; left empty.")))
+
     if found in OBJECT_ID_RULES:
         table = (f.references or f.table).partition(".")[0]
         made = F.when(present, F.struct(object_id(table, value).alias("$oid")))
@@ -173,11 +178,12 @@ def convert(f: Field, value: Column, kind: str) -> Converted:
         odd = present & ~text.isin(*codes)
         return Converted(F.when(present, text == codes[0]), odd, F.when(odd, F.concat(F.lit("Code "), text, F.lit(" has no Boolean; taken as false."))))
     if found == "tinyint_to_boolean":
-        return plain(value.cast("int") != 0)
+        made, *odd = tried("int")
+        return Converted(made != 0, *odd)
     if found == "decimal_to_number":
-        return plain(value.cast("double"))
+        return Converted(*tried("double"))
     if found == "int_to_number":
-        return plain(value.cast("long"))
+        return Converted(*tried("long"))
     if found == "datetime_to_isodate":
         return plain(F.when(present, F.struct(to_iso(value, kind).alias("$date"))))
     return plain(value)

@@ -112,6 +112,22 @@ def test_values(spark):
     assert value(spark, PAIRS[1][0], 7, "int")[0] == value(spark, d, 7, "int")[0]
 
 
+def test_malformed_values_never_end_a_migration(spark):
+    """A value that is no number is left empty and marked; the other rows of the table go on."""
+    pairs = [
+        Field("t", "n", "INT", False, None, None, "n", "Number"), Field("t", "d", "DECIMAL(9,2)", False, None, None, "d", "Number"),
+        Field("t", "b", "TINYINT(1)", False, None, None, "b", "Boolean"),
+    ]
+    rows = spark.createDataFrame([(1, "12", "1.5", "1"), (2, "x", "1,5", "yes"), (3, None, None, None), (4, "99999999999999999999", "1e3", "0")], "k int, n string, d string, b string")
+    made = {f.name: convert(f, F.col(f.name), "string") for f in pairs}
+    got = {r["k"]: r for r in rows.select("k", *(c.value.alias(n) for n, c in made.items()), *(c.manual.alias(f"{n}_manual") for n, c in made.items()), *(c.detail.alias(f"{n}_detail") for n, c in made.items())).collect()}
+    assert [tuple(got[k][c] for c in "ndb") for k in (1, 2, 3, 4)] == [(12, 1.5, True), (None, None, None), (None, None, None), (None, 1000.0, False)]
+    assert [tuple(got[k][f"{c}_manual"] for c in "ndb") for k in (1, 2, 3, 4)] == [(False,) * 3, (True,) * 3, (False,) * 3, (True, False, False)]
+    assert got[2]["d_detail"] == "The value 1,5 is no double; left empty." and got[1]["n_detail"] is None
+    done = migrate.migrate(rows, pairs, ["k"])
+    assert done.count() == 4 and done.select("document").filter("document is null").isEmpty()
+
+
 def test_migrate(spark):
     df = spark.createDataFrame([(1, "A", "x"), (2, None, "y")], "id int, st string, extra string")
     pairs = [Field("t", "id", "INT", True, None, None, "_id", "ObjectId"), Field("t", "st", "CHAR(1)", False, None, LEGEND, "job.status", "String"), Field("t", "gone", "INT", False, None, None, "x", "Number")]
