@@ -10,10 +10,11 @@ from docweave.operators.ledger import PRICES, model_prices
 from docweave.operators.migrate import migrate, preview
 from docweave.operators.shortlist import shortlist
 from docweave.plans.run import Run, compile_mapping, map_schemas
+from docweave.sinks.writers import HISTORY, list_runs, persist_run
 from docweave.sources import reader
 from docweave.types import DEFAULTS, MAPPING_DOCUMENT
 
-__all__ = ["candidates", "contract_schema", "describe", "migrate", "migrate_table", "model_prices", "parse", "preview", "run"]
+__all__ = ["candidates", "contract_schema", "describe", "migrate", "migrate_table", "model_prices", "parse", "persist_run", "preview", "run", "runs"]
 
 
 def describe(spark: SparkSession) -> dict:
@@ -48,6 +49,11 @@ def run(spark: SparkSession, source_text: str, dest_text: str, batch: int = DEFA
     return map_schemas(reader.source_fields(spark, source_text), reader.dest_fields(spark, dest_text), limits=limits, **more)
 
 
+def runs(spark: SparkSession, folder: str, limit: int = HISTORY) -> DataFrame:
+    """The newest runs that persist_run() kept in a folder: run_id, started_at, duration_ms, mapping, ok, calls."""
+    return list_runs(spark, folder, limit)
+
+
 def migrate_table(df: DataFrame, result: Run, table: str, keep: list[str] | None = None) -> DataFrame:
     """A whole table under a run's accepted mapping."""
     return migrate(df, compile_mapping(result.document, result.source, result.dest, table), keep)

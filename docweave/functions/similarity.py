@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def containment(a: Column, b: Column) -> Column:
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+def containment_of(shared: Column, a: Column, b: Column) -> Column:
+    """Of two sets of sizes a and b that share some members: what part of the smaller one they are."""
+    return F.when(F.least(a, b) > 0, shared / F.least(a, b)).otherwise(0.0)
+
+
+def jaccard_of(shared: Column, a: Column, b: Column) -> Column:
+    return F.when(F.least(a, b) > 0, shared / (a + b - shared)).otherwise(0.0)
+
 
+def overlap_of(shared: Column, a: Column, b: Column) -> Column:
+    return 0.7 * containment_of(shared, a, b) + 0.3 * jaccard_of(shared, a, b)
 
-def jaccard(a: Column, b: Column) -> Column:
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+def _sizes(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    return F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
+
+
+def containment(a: Column, b: Column) -> Column:
+    return containment_of(*_sizes(a, b))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    return 0.7 * containment(a, b) + 0.3 * jaccard(a, b)
+    return overlap_of(*_sizes(a, b))
 
 
 def lexical(s_core: Column, s_concepts: Column, d_core: Column, d_concepts: Column) -> Column:

@@ -100,6 +100,12 @@ def quality(document: DataFrame, decisions: DataFrame, limits: Thresholds = DEFA
     return of_fields.crossJoin(of_decisions)  # one row each
 
 
+def escalation(decisions: DataFrame) -> DataFrame:
+    """One row: decisions that were escalated to the strong adjudicator, and their share of all."""
+    taken = F.exists("passes", lambda p: p["pass"] == "escalated")
+    return decisions.agg(F.count_if(taken).alias("escalated"), F.count(F.lit(1)).alias("decisions"), F.round(F.coalesce(F.avg(taken.cast("double")), F.lit(0.0)), 4).alias("stage3_escalation_rate"))
+
+
 def coverage(document: DataFrame, source: DataFrame, dest: DataFrame) -> DataFrame:
     """One row: columns and paths in all, mapped, unmapped, accounted for. Paths count per collection."""
     own = mapped_fields(document).agg(F.count(F.lit(1)).alias("source_mapped"), F.count_distinct("destination_collection", "destination_field").alias("paths_targeted"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.functions.similarity import containment, jaccard, lexical, with_ratio
+from docweave.functions.similarity import lexical, overlap_of, with_ratio
 from docweave.operators import adjudicate, assemble, coverage, decisions, evaluation, ledger, migrate, pairing, prompts, routing, shortlist, snippets
 from docweave.operators.extract_json import extract_json
 from docweave.plans import tpch
@@ -15,7 +15,7 @@ from docweave.session import prepare
 from docweave.sinks import writers
 from docweave.sources import inference, reader
 from docweave.streaming.progress import last_by_key
-from docweave.types import TYPE_DEFAULT, TYPE_MATRIX
+from docweave.types import MAPPING_DOCUMENT, TYPE_DEFAULT, TYPE_MATRIX
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -211,19 +211,12 @@ def _overlap_sql(a: str, b: str) -> str:
 
 @query(f"""WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b,
        list_distinct(string_split(lower(p_brand), '#')) AS x FROM part),
-o AS (SELECT *, {_overlap_sql('a', 'b')} AS core, least(1.0, (len(list_intersect(x, b)) + 0.5 * len(list_intersect(x, x))) / greatest(1, least(len(a), len(b)))) AS concept FROM w)
+o AS (SELECT *, {_overlap_sql('a', 'b')} AS core, least(1.0, (len(list_intersect(x, b)) + len(list_intersect(a, x)) + 0.5 * len(x)) / greatest(1, least(len(a), len(b)))) AS concept FROM w)
 SELECT p_partkey, round(least(1.0, core + 0.35 * concept * (1 - core)), 6) AS score FROM o""")
 def lexical_score(t, spark):
     words = lambda c, by: F.array_distinct(F.split(F.lower(c), by))
     rows = t("part").select("p_partkey", words("p_name", " ").alias("a"), words("p_type", " ").alias("b"), words("p_brand", "#").alias("x"))
-    none = F.array().cast("array<string>")
-    # concepts of the left side only meet the right core; both sides hold the same ones for the rest
-    score = lexical(F.col("a"), F.col("x"), F.col("b"), none)
-    core = 0.7 * containment(F.col("a"), F.col("b")) + 0.3 * jaccard(F.col("a"), F.col("b"))
-    hits = F.size(F.array_intersect("x", "b")) + 0.5 * F.size("x")
-    concept = F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.least(F.size("a"), F.size("b"))))
-    both = F.least(F.lit(1.0), core + 0.35 * concept * (1 - core))
-    return rows.select("p_partkey", F.round(F.greatest(score, both), 6).alias("score"))
+    return rows.select("p_partkey", F.round(lexical(F.col("a"), F.col("x"), F.col("b"), F.col("x")), 6).alias("score"))
 
 
 _WORDS = "[^a-z0-9]+"
@@ -235,8 +228,7 @@ def _shared(t) -> DataFrame:
     d, b = words(t("documents"), "doc_id"), words(t("benchmark"), "item_id")
     d, b = (x.select(x.columns[0], F.size("w").alias(f"n_{x.columns[0][0]}"), F.explode("w").alias("word")) for x in (d, b))
     pairs = d.join(b, "word").groupBy("doc_id", "item_id", "n_d", "n_i").agg(F.count(F.lit(1)).alias("n"))
-    score = 0.7 * F.col("n") / F.least("n_d", "n_i") + 0.3 * F.col("n") / (F.col("n_d") + F.col("n_i") - F.col("n"))
-    return pairs.select("doc_id", "item_id", F.round(score, 9).alias("score"))
+    return pairs.select("doc_id", "item_id", F.round(overlap_of(F.col("n"), F.col("n_d"), F.col("n_i")), 9).alias("score"))
 
 
 _SHARED_SQL = """WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
@@ -436,12 +428,11 @@ def merge_documents(t, spark):
     return inference.infer_paths(t("events"), "props", "event_id").drop("rank")
 
 
-@query("""SELECT r_name, left(sha256(string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey)), 16) AS fingerprint FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""SELECT r_name, left(sha256('[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']'), 16) AS fingerprint
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def fingerprint(t, spark):
-    named = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    line = F.concat_ws(":", F.col("n_nationkey").cast("string"), "n_name")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"])
-    return named.groupBy("r_name").agg(F.left(F.sha2(F.array_join(lines, ","), 256), F.lit(16)).alias("fingerprint"))
+    named = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return reader.fingerprints(named, ["r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -451,7 +442,8 @@ def last_event_wins(t, spark):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def bounded_history(t, spark):
-    return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("started_at"))
+    return writers.history(runs).select(F.col("run_id").alias("o_orderkey"), F.col("started_at").alias("o_totalprice"))
 
 
 # ---- whole runs and what SQL has no words for
@@ -571,6 +563,50 @@ def full_validation(t, spark):
     return coverage.full_validation(r.document, r.source, r.dest).agg(F.count(F.lit(1)).alias("faults"))
 
 
+#: A mapping document with one fault of every kind, over the worked example's schemas.
+FAULTY = {
+    "mapping_version": "", "source": "retail", "destination": "shop", "generated_at": "today",
+    "tables": [
+        {"source_table": "customer", "destination_collection": "customers", "confidence": 1.5, "reasoning": "One. Two.", "unmapped_source_fields": ["c_custkey", "ghost"],
+         "unmapped_destination_fields": ["market.segment"], "field_mappings": [
+             {"source_field": "c_custkey", "destination_field": "_id", "type_transform": "", "confidence": -0.1, "reasoning": "It is the key.", "notes": None},
+             {"source_field": "c_name", "destination_field": "name", "type_transform": "VARCHAR -> String", "confidence": 0.9, "reasoning": "", "notes": None},
+             {"source_field": "c_nationkey", "destination_field": "name", "type_transform": "INT -> String", "confidence": 0.9, "reasoning": "Both are names.", "notes": None},
+             {"source_field": "c_acctbal", "destination_field": "made.up", "type_transform": "DECIMAL -> Number", "confidence": 0.9, "reasoning": "Both are sums.", "notes": None}]},
+        {"source_table": "nope", "destination_collection": "nowhere", "confidence": 0.5, "reasoning": "A guess.", "unmapped_source_fields": [], "unmapped_destination_fields": [], "field_mappings": []},
+    ],
+}
+
+
+@query("""SELECT * FROM (VALUES ('schema_violation', 'generated_at', 'is no ISO 8601 time'), ('schema_violation', 'mapping_version', 'is empty'), ('schema_violation', 'tables/0/confidence', 'is not between 0 and 1'),
+       ('schema_violation', 'tables/0/reasoning', 'is not one sentence'), ('schema_violation', 'tables/0/field_mappings/0/type_transform', 'is empty'),
+       ('schema_violation', 'tables/0/field_mappings/0/confidence', 'is not between 0 and 1'), ('schema_violation', 'tables/0/field_mappings/1/reasoning', 'is not one sentence'),
+       ('coverage_error', 'nope', 'unknown source table'), ('coverage_error', 'customer.c_mktsegment', 'column is neither mapped nor declared unmapped'),
+       ('coverage_error', 'customer.c_custkey', 'column is both mapped and declared unmapped'), ('coverage_error', 'customer.ghost', 'unknown column'),
+       ('coverage_error', 'nowhere', 'unknown destination collection'), ('coverage_error', 'customers.account.balance', 'path is neither targeted nor declared unmapped'),
+       ('coverage_error', 'customers.made.up', 'unknown path'), ('coverage_error', 'orders', 'source table is missing'),
+       ('unresolved_path', 'customer.c_acctbal', 'made.up'), ('collision', 'customer.name', 'c_name, c_nationkey')) v(kind, key, detail)""")
+def validation_faults(t, spark):
+    bad = spark.createDataFrame([FAULTY], MAPPING_DOCUMENT)
+    return coverage.full_validation(bad, reader.source_fields(spark, tpch.DDL), reader.dest_fields(spark, tpch.DOCUMENTS))
+
+
+@query("""SELECT * FROM (VALUES ('adjudicate', 2::BIGINT, 11::BIGINT, 1::BIGINT), ('route', 2, 0, 1)) v(stage, calls, fields, most_tables)""")
+def run_calls(t, spark):
+    """The ledger of a run whose answers come from a function: one call a table to route, one a batch to choose."""
+
+    def choose(frame, stage):
+        first = [c[0]["path"] if len(c) else None for c in frame["candidates"]]
+        if stage == "route":
+            first = ["customers" if x == "customer" else "orders" for x in frame["name"]]
+        return frame[["table", "name"]].assign(path=first, confidence=0.9, reasoning="The names agree.", notes=None, model="fast")
+
+    who = adjudicate.Call(choose)
+    r = map_schemas(reader.source_fields(spark, tpch.DDL), reader.dest_fields(spark, tpch.DOCUMENTS), who, router=who)
+    by = r.calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size("source_fields")).alias("fields"), F.max(F.size("source_tables")).cast("long").alias("most_tables"))
+    return by.filter("stage in ('route', 'adjudicate')")
+
+
 def queries():
     return dict(QUERIES)
 

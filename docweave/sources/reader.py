@@ -83,23 +83,23 @@ def read_dest(spark: SparkSession, path: str) -> DataFrame:
     return dest_fields(spark, read_text(spark, path), path.rpartition("/")[2])
 
 
-def _fingerprint(rows: list) -> str:
-    return hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
-
-
-def key_role(r) -> str:
-    return "PK" if r["is_pk"] else "FK" if r["is_fk"] else "UNIQUE" if r["is_unique"] else ""
+def fingerprints(rows: DataFrame, by: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """by, fingerprint: 16 hex digits over a canonical form of each group's rows, columns ``cols`` in the order of ``order``."""
+    line = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    held = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), line.alias("line"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(held, lambda x: x["line"]), ","), F.lit("]"))
+    return rows.groupBy(*by).agg(F.left(F.sha2(text, 256), F.lit(16)).alias("fingerprint"))
 
 
 def source_fingerprint(fields: DataFrame) -> str:
-    """16 hex digits that are the same for the DDL and the JSON form of a schema. A schema is small: the driver reads it."""
-    rows = fields.orderBy("table_ord", "ord").collect()
-    return _fingerprint([[r["table"], r["name"], r["sql_type"], r["nullable"], key_role(r), r["references"], r["comment"]] for r in rows])
+    """16 hex digits that are the same for the DDL and the JSON form of a schema."""
+    role = F.when(F.col("is_pk"), "PK").when(F.col("is_fk"), "FK").when(F.col("is_unique"), "UNIQUE").otherwise("")
+    cols = ["table", "name", "sql_type", "nullable", "role", "references", "comment"]
+    return fingerprints(fields.withColumn("role", role), [], ["table_ord", "ord"], cols).first()["fingerprint"]
 
 
 def dest_fingerprint(fields: DataFrame) -> str:
-    rows = fields.orderBy("coll_ord", "ord").collect()
-    return _fingerprint([[r["collection"], r["path"], r["bson_type"], r["references"], r["comment"]] for r in rows])
+    return fingerprints(fields, [], ["coll_ord", "ord"], ["collection", "path", "bson_type", "references", "comment"]).first()["fingerprint"]
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
