@@ -162,6 +162,66 @@ def test_user_function_is_asked_in_batches(spark, shop):
     assert any(x["path"] for x in r.decisions.collect())
 
 
+def test_a_run_records_its_calls(spark, hr, tmp_path):
+    """One call a batch, priced, with prompt, snippets, examples and manifest; persisted and listed again."""
+
+    def choose(frame, stage):
+        path = [c[0]["path"] if len(c) else None for c in frame["candidates"]]
+        sure = [0.5 if stage == "adjudicate" and k == 0 else 0.9 for k in range(len(frame))]
+        notes = ["seen" if "Background:" in p else "not seen" for p in frame["prompt"]] if "prompt" in frame else None
+        return frame[["table", "name"]].assign(path=path, confidence=sure, reasoning="The names agree.", notes=notes, model="fast" if stage == "adjudicate" else "strong")
+
+    example = {"source_table": "emp_master", "source_field": "f_name", "destination_field": "fullName.firstName"}
+    pack = knowledge.Knowledge(**{**knowledge.default_pack().__dict__, "overrides": (example,)})
+    r = map_schemas(*hr, Call(choose), Call(choose), pack=pack, generated_at="2024-01-01T00:00:00Z")
+    made = r.calls.collect()
+    batches_ = [c for c in made if c["stage"] == "adjudicate"]
+    assert len(batches_) == 5 and sum(len(c["source_fields"]) for c in batches_) == 34 and max(len(c["source_fields"]) for c in batches_) == 8
+    assert [c["seq"] for c in made] == list(range(len(made))) and all(len(c["source_tables"]) == 1 and c["input_tokens"] > 0 and c["output_tokens"] > 0 for c in made)
+    assert {c["model_id"] for c in made if c["stage"] == "escalate"} == {"strong"} and all(len(c["destination_paths"]) < 40 for c in made)
+    trace = r.log.trace(spark).collect()
+    assert all("Background:" in t["prompt"] and t["answer"] for t in trace if t["stage"] == "adjudicate")
+    assert any("Accepted before:\n  f_name -> fullName.firstName" in t["prompt"] for t in trace if t["table"] == "emp_master") and not any("Accepted" in t["prompt"] for t in trace if t["table"] == "locations")
+    report = r.report()
+    cost, most = report["cost"].first(), report["constraints"].first()
+    assert cost["total_tokens"] == sum(c["input_tokens"] + c["output_tokens"] for c in made) and cost["total_usd"] > 0 and cost["billable_calls"] == len(made)
+    assert most["max_typed_fields"] == 8 and most["max_tables"] == 1 and most["prompts_with_both_schemas"] == 0 and most["both_schemas_tokens"] > most["max_input_tokens"] / 4
+    rate = report["escalation"].first()
+    assert rate["decisions"] == 34 and rate["escalated"] == sum(len(c["source_fields"]) for c in made if c["stage"] == "escalate") >= 1
+    kinds = [e["type"] for e in r.progress.events]
+    assert kinds.count("batch") >= 5 and "escalate" in kinds and kinds[-2:] == ["result", "run_end"]
+    home = writers.persist_run(r, str(tmp_path / "runs"))
+    kept = api.runs(spark, str(tmp_path / "runs")).collect()
+    assert [(x["run_id"], x["calls"]) for x in kept] == [(r.run_id, len(made))] and spark.read.json(f"{home}/calls").count() == len(made)
+    assert spark.read.json(f"{home}/prompts").count() == len(made)
+
+
+def test_the_budget_holds_before_a_call(spark, shop):
+    """A run that would pass its ceiling ends with an event, before anybody is asked."""
+    asked, progress = [], Progress()
+
+    class Never:
+        def answer(self, questions, stage):
+            asked.append(stage)
+
+    with pytest.raises(ledger.BudgetExceeded, match="raise the ceiling"):
+        map_schemas(*shop, Never(), limits=DEFAULTS.__class__(token_ceiling=50), progress=progress)
+    assert not asked and progress.events[-1]["type"] == "error"
+    held = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    assert held == ("4", "true")
+
+
+def test_settings_reach_the_command_line(monkeypatch, capsys):
+    from docweave import __main__, settings
+
+    monkeypatch.setenv("DOCWEAVE_TOP_K", "9")
+    monkeypatch.setenv("DOCWEAVE_CASCADE", "off")
+    args = __main__.parser(settings.load()).parse_args(["a", "b"])
+    assert args.top_k == 9 and args.no_cascade and not args.no_reflection
+    monkeypatch.setenv("DOCWEAVE_TOP_K", "many")
+    assert main(["a", "b"]) == 2 and "setting" in capsys.readouterr().err
+
+
 def test_replay_needs_every_answer(spark, shop):
     records = spark.createDataFrame([("adjudicate", "acct", "acct_id", "_id", 0.9, "r", None, "m")], f"stage string, {ANSWERS}")
     with pytest.raises(LookupError):
