@@ -138,7 +138,9 @@ def find_collisions(mappings: DataFrame, by: list[str] | None = None) -> DataFra
 
 def resolve_collisions(decisions: DataFrame, who: Adjudicator | None = None, limits: Thresholds = DEFAULTS) -> DataFrame:
     """One column per path and table: the surest, then the earliest; two that are about as sure go to the adjudicator."""
-    w = Window.partitionBy("table", "path").orderBy(F.col("confidence").desc(), F.col("ord"))
+    # columns without a path contend for nothing: each is a group of its own
+    claim = F.coalesce("path", F.concat(F.lit("\0"), "name"))
+    w = Window.partitionBy("table", claim).orderBy(F.col("confidence").desc(), F.col("ord"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     held = decisions.withColumns(
         {

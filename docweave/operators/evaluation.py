@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,8 @@ def recall(truth: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
 def separation(scored: DataFrame, truth_column: str = "is_true", score: str = "score") -> DataFrame:
     """Least and greatest score of true and of other pairs, and how many pairs lie on the wrong side of the midpoint."""
-    w = Window.partitionBy(F.lit(0))  # a calibration has a handful of pairs
-    low, high = F.min(F.when(F.col(truth_column), F.col(score))).over(w), F.max(F.when(~F.col(truth_column), F.col(score))).over(w)
-    marked = scored.withColumn("cut", (low + high) / 2)
-    return marked.agg(
-        F.min(F.when(F.col(truth_column), F.col(score))).alias("true_min"), F.max(F.when(F.col(truth_column), F.col(score))).alias("true_max"),
-        F.min(F.when(~F.col(truth_column), F.col(score))).alias("other_min"), F.max(F.when(~F.col(truth_column), F.col(score))).alias("other_max"),
-        F.count_if(F.col(truth_column) != (F.col(score) >= F.col("cut"))).alias("misplaced"),
-    )
+    side = {"true": F.col(truth_column), "other": ~F.col(truth_column)}
+    ends = scored.agg(*(f(F.when(is_, F.col(score))).alias(f"{name}_{end}") for name, is_ in side.items() for end, f in (("min", F.min), ("max", F.max))))
+    cut = (F.col("true_min") + F.col("other_max")) / 2
+    wrong = scored.select(truth_column, score).crossJoin(ends).agg(F.count_if(F.col(truth_column) != (F.col(score) >= cut)).alias("misplaced"))  # one row of ends
+    return ends.crossJoin(wrong)

@@ -16,11 +16,12 @@ PLACED, ALIGNED, UNRELATED, TABLE_ALIGNED = 0.30, 0.45, 0.38, 0.45
 def field_affinities(source: DataFrame, dest: DataFrame, pack: Knowledge | None = None) -> DataFrame:
     """Best affinity of every column in every collection: table, table_ord, name, collection, coll_ord, affinity.
 
-    All columns meet all paths, which is the question asked; both sides are schemas, not data, and the smaller is broadcast.
+    All columns meet all paths, which is the question asked: both sides are schemas, a row per column or path, not data. Spark
+    broadcasts one by its size.
     """
     pack = pack or default_pack()
     s, d = _packed(source_tokens(source, pack), "s"), _packed(dest_tokens(dest, pack), "d")
-    pairs = compare(s.join(F.broadcast(d)))
+    pairs = compare(s.crossJoin(d))
     affinity = F.least(F.lit(1.0), sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0)))
     keys = [F.col(c).alias(c.partition(".")[2]) for c in ("s.table", "s.table_ord", "s.name", "d.collection", "d.coll_ord")]
     return pairs.groupBy(*keys).agg(F.max(affinity).alias("affinity"))

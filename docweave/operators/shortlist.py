@@ -15,8 +15,6 @@ from docweave.types import DEFAULTS, TYPE_DEFAULT, TYPE_MATRIX, Thresholds
 # Weights of the components of a score, and of an embedding's similarity if there is one.
 WEIGHTS = {"lexical": 0.38, "fuzzy": 0.12, "type_compat": 0.20, "key_role": 0.14, "comment": 0.16}
 EMBEDDING_WEIGHT = 0.15
-#: The larger field side above which a broadcast is left to Spark's own judgement.
-BROADCAST_FIELDS = 100_000
 
 
 def source_tokens(fields: DataFrame, pack: Knowledge) -> DataFrame:

@@ -23,13 +23,14 @@ def snippet_rows(spark: SparkSession, pack: Knowledge) -> DataFrame:
 def retrieve(queries: DataFrame, snippets: DataFrame, limit: int = 4) -> DataFrame:
     """queries: query, terms (words). The best snippets of each: query, id, score, rank; none for a query that shares no word.
 
-    Only pairs that share a word are formed: words of tags and texts are the join key.
+    Only pairs that share a word are formed: words of tags and texts are the join key. Snippets may be many: Spark broadcasts
+    them by their size, or shuffles.
     """
     terms = queries.select("query", F.explode(F.array_distinct(F.transform(F.filter("terms", lambda x: x != ""), F.lower))).alias("word"))
     tags = snippets.select("id", F.posexplode("tags").alias("tag", "words")).select("id", "tag", F.explode(F.array_distinct("words")).alias("word"))
     body = snippets.select("id", F.explode("body").alias("word"))
-    by_tag = terms.join(F.broadcast(tags), "word").groupBy("query", "id").agg((TAG * F.count_distinct("tag")).alias("score"))
-    by_body = terms.join(F.broadcast(body), "word").groupBy("query", "id").agg((BODY * F.count(F.lit(1))).alias("score"))
+    by_tag = terms.join(tags, "word").groupBy("query", "id").agg((TAG * F.count_distinct("tag")).alias("score"))
+    by_body = terms.join(body, "word").groupBy("query", "id").agg((BODY * F.count(F.lit(1))).alias("score"))
     scored = by_tag.unionByName(by_body).groupBy("query", "id").agg(F.round(F.sum("score"), 9).alias("score"))
     return top_k(scored, ["query"], "score", "id", limit, 1e-9)
 
