@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, lookup, partitions, pick_rows, scratch, session, texts
+from .common import drop_scratch, id_back, id_key, lookup, partitions, pick_rows, scratch, session, texts
 from .components import components
 from .fingerprints import bin_values, shingle_spans
 
@@ -486,6 +486,7 @@ def _link_alike(shared: DataFrame, sets: DataFrame, likeness: float) -> DataFram
     if met.isEmpty():
         return None
     found = verified(met, sets, likeness)
+    drop_scratch(met)
     label = components(found)
     open_ = scratch(large.select("bucket", "node").join(label.withColumnRenamed("u", "node"), "node", "left").select("bucket", "node", F.coalesce("m", "node").alias("of")), "open")
     each = open_.groupBy("bucket", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "of")).alias("most"))
@@ -502,6 +503,8 @@ def _link_alike(shared: DataFrame, sets: DataFrame, likeness: float) -> DataFram
     ranks = [gray_rank(F.col(f"w{k}")).bitwiseXOR(F.lit(-(2**63))) for k in range(WIDE)]
     ordered = dealt.join(wide, "node").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *ranks)
     new = scratch(ordered.mapInArrow(_search_alike(likeness), "u long, v long"), "links")
+    for done in (open_, rows, dealt, wide):
+        drop_scratch(done)
     return label if new.isEmpty() else components(found.unionByName(new))
 
 
@@ -525,6 +528,8 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
     wanted = groups.join(shared.select("node").distinct(), "node", "left_semi").select("own.key", "own.version", F.lit(1).cast("long").alias("times"))
     sets = scratch(pick_rows(texts(docs), wanted).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
     label = _link_alike(shared, sets, likeness)
+    for done in (shared, sets):
+        drop_scratch(done)
     rooted = groups.select("node", "size", F.col("own.key").alias("least"), F.col("node").alias("root"))
     if label is not None:
         rooted = rooted.drop("root").join(label.withColumnRenamed("u", "node"), "node", "left").select("node", "size", "least", F.coalesce("m", "node").alias("root"))
