@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions.similarity import lexical, overlap_of, with_ratio
 from docweave.operators import adjudicate, assemble, coverage, decisions, evaluation, ledger, migrate, pairing, prompts, routing, shortlist, snippets
 from docweave.operators.extract_json import extract_json
-from docweave.plans import tpch
+from docweave.plans import parts, tpch  # noqa: F401  parts registers its queries
+from docweave.plans.registry import QUERIES, SQL, query
 from docweave.plans.run import compile_mapping, map_schemas
-from docweave.session import prepare
 from docweave.sinks import writers
 from docweave.sources import inference, reader
 from docweave.streaming.progress import last_by_key
 from docweave.types import MAPPING_DOCUMENT, TYPE_DEFAULT, TYPE_MATRIX
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of (tables, spark) under its name; tables(name) reads a table."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _flat(df: DataFrame, **names: str) -> DataFrame:
     """Leaves of a document by their dot paths, renamed."""
@@ -606,7 +587,6 @@ def run_calls(t, spark):
     by = r.calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size("source_fields")).alias("fields"), F.max(F.size("source_tables")).cast("long").alias("most_tables"))
     return by.filter("stage in ('route', 'adjudicate')")
 
-
 def queries():
     return dict(QUERIES)
 

@@ -57,16 +57,18 @@ def last_by_key(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def last_by_key_stream(events: DataFrame, key: str, order: str, sink: str):
-    """Keep a table of the last event per key up to date from a stream: each micro-batch is merged into the sink.
+    """Keep the last event per key from a stream, as a log of changes that read_last() resolves.
 
-    Two folders alternate, named by the batch's number, so a batch that is run again overwrites its own result only.
+    The state store holds a row per key, spread over the cluster by key; a micro-batch shuffles its own events only and writes
+    only the keys that changed, to a folder named by its number, so a batch that is run again overwrites its own result.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = last_by_key(batch, key, order)
-        if number:
-            new = last_by_key(spark.read.schema(batch.schema).parquet(f"{sink}/{(number - 1) % 2}").unionByName(new.select(*batch.columns)), key, order)
-        new.select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/{number % 2}")
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return events.writeStream.foreachBatch(merge)
+    return last_by_key(events, key, order).writeStream.outputMode("update").foreachBatch(merge)
+
+
+def read_last(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """The last event of every key by what last_by_key_stream() has written so far: the latest change of each key."""
+    return last_by_key(spark.read.parquet(sink), key, "batch").drop("batch")

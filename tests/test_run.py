@@ -12,7 +12,7 @@ from docweave.operators.adjudicate import Call, Deterministic, Replay, Scripted,
 from docweave.plans.run import map_schemas
 from docweave.sinks import writers
 from docweave.sources import calls, knowledge, reader
-from docweave.streaming.progress import Progress, last_by_key_stream, parse_sse, read_events, sse
+from docweave.streaming.progress import Progress, last_by_key_stream, parse_sse, read_events, read_last, sse
 from docweave.types import ANSWERS, DEFAULTS, MAPPING_DOCUMENT
 
 
@@ -325,7 +325,8 @@ def test_progress_stream(spark, tmp_path):
         q = stream()
         q.processAllAvailable()
         q.stop()
-    assert '"y"' in spark.read.parquet(str(tmp_path / "last" / "1")).first()["payload"]
+    last = {r["type"]: r for r in read_last(spark, str(tmp_path / "last"), "type").collect()}
+    assert len(last) == p.frame(spark).select("type").distinct().count() and '"y"' in next(r["payload"] for r in last.values() if r["seq"] == 1)
 
 
 def test_surface(spark):
