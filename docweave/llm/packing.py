@@ -258,8 +258,9 @@ def pack(pieces: DataFrame, n_pieces: int, shard: int = SHARD) -> DataFrame:
     """Pack pieces of at most CAPACITY ids; adds sequence_id (any distinct longs) and offset (gapless from 0).
 
     Null doc_ids, equal and repeated pieces are packed each; columns other than _COLUMNS are left out; without pieces there
-    is no row. Shards hold ``shard`` rows on average whatever the input, so a task's memory is bounded; the second round has the
-    leftovers of many shards in one, the third those of the second.
+    is no row. ``pieces`` is a written table: rows are dealt by their place in it too, so shards hold ``shard`` rows on average
+    whatever the input, however many rows share an id and a text, and a task's memory is bounded; the second round has the leftovers
+    of many shards in one, the third those of the second.
     """
     names = [f.split()[0] for f in _COLUMNS.split(", ")]
     full = pieces.filter(F.col("length") == CAPACITY)
@@ -268,7 +269,7 @@ def pack(pieces: DataFrame, n_pieces: int, shard: int = SHARD) -> DataFrame:
     count, base = n_pieces, 0
     for left in (2, 1, 0):
         shards = max(1, round(count / shard))
-        dealt = open_.select(*names, (F.pmod(F.xxhash64(F.lit(left), "doc_id", "piece", "ids_crc32"), F.lit(shards)) + base).alias("shard"))
+        dealt = open_.select(*names, (F.pmod(F.xxhash64(F.lit(left), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)) + base).alias("shard"))
         last = left == 0 or shards == 1
         made = scratch(dealt.groupBy("shard").applyInPandas(_pack(last), f"{_COLUMNS}, shard long, sequence_id long, offset long, settled boolean"), "packed")
         parts.append(made.filter("settled").select(*names, "sequence_id", "offset"))
