@@ -89,15 +89,16 @@ def mix(docs: DataFrame, size, cols: list[str], seed: int = 20, weights: tuple[i
     target, before (sizes ahead of the document in its source), budget (the target, floored) and taken: the whole size
     for each full epoch and, in the last epoch, what the cut leaves of it. Whole sources sum up to their budget
     exactly. Null texts have size 0 and are never taken; a very long text counts whole and may be taken in part; null
-    doc_ids hash like an id of their own; repeated rows are rows like any other, in any order among themselves. An empty table
+    doc_ids hash like an id of their own, with their text; repeated rows are rows like any other, in any order among themselves. An empty table
     gives an empty result.
 
     No row per source or document reaches the driver or is broadcast by force: targets travel with the sums of buckets.
     """
     session(docs)
-    rows = docs.select(*cols, F.col("source").cast("string").alias("mix__source"), size.alias("size")).withColumn(
-        "mix__key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    )
+    # rows without an id are told apart by their texts, so that many of them don't fill one bucket
+    nameless = [F.when(F.col("doc_id").isNull(), F.col("text"))] if "text" in docs.columns else []
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), *nameless)
+    rows = docs.select(*cols, F.col("source").cast("string").alias("mix__source"), size.alias("size"), key.alias("mix__key"))
     rows = scratch(rows, "sizes")
     sources = scratch(rows.groupBy("mix__source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     counted = sources.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()

@@ -313,6 +313,21 @@ def plain_fingerprint(text):
     return [(least[k] if k in least else least[next(j for j in order[k].tolist() if j in least)]) & 15 for k in range(512)]
 
 
+def test_rows_without_ids_are_spread(spark, tmp_path):
+    """A third of a table may have no id: such rows are dealt to shards and ranges like others."""
+    rows = [(None if k % 3 else k, 0, 0, 300, 7) for k in range(6000)]
+    spark.createDataFrame(rows, packing._COLUMNS).repartition(4).write.parquet(str(tmp_path / "pieces"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "pieces")), 6000, shard=300).collect()
+    shards = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 6000 and max(shards.values()) < 600 and max(Counter(r["sequence_id"] for r in got).values()) == 3
+    texts = [(None, f"word {k}", "s") if k % 2 else (k, "other word", "t") for k in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    mixed = mixing.mix(df, mixing.word_count(), ["doc_id"]).collect()
+    nameless = [r for r in mixed if r["doc_id"] is None]
+    # every row has a place of its own in the hash-random order, and the budget is met
+    assert sorted(r["before"] for r in nameless) == [2 * k for k in range(1000)] and sum(r["taken"] for r in nameless) == nameless[0]["budget"]
+
+
 def test_bins_densification_and_packing(rows):
     """Also of texts with few shingles, which leave most bins empty."""
     import base64
