@@ -543,6 +543,42 @@ def test_near_copies_are_found_at_the_threshold(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(120)) >= 114 and all(got[2 * k] == 2 * k for k in range(120))
 
 
+def test_like_documents_come_through_the_index(spark, monkeypatch):
+    """Only what the Gray-order index links is a candidate, also where fingerprints are dealt to many buckets."""
+    rng, rows = random.Random(13), []
+    for k in range(200):
+        a = [str(rng.randrange(10**6)) for _ in range((8, 40, 300)[k % 3])]
+        b = a + ["new"] if k % 3 < 2 else a[:100] + ["new"] * 8 + a[108:]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "CROWD", 32)
+    assert len(simhash.samples(400)) > 10
+    got = {r["doc_id"]: r["component_id"] for r in simhash.like_documents(df).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(200)) >= 198 and all(got[2 * k] == 2 * k for k in range(200))
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda fps, *_, **__: fps.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    assert all(r["doc_id"] == r["component_id"] for r in simhash.like_documents(df).collect())
+
+
+def test_pairs_at_the_likeness_share_a_bucket():
+    """Four shingles of five, which differ most, and 80 of 100 meet; unlike sets of any size don't come near."""
+    rng = np.random.default_rng(14)
+    sets = lambda n: rng.integers(0, 2**63, n, dtype="u8")
+    for n in (1, 4096, 20_000, 10**6):
+        masks = np.array(simhash.samples(n), "u8")
+        assert n / 2 ** int(np.bitwise_count(masks).sum(axis=1).min()) <= simhash.CROWD
+        met = 0
+        for k in range(600):
+            union = sets(5) if k % 2 else sets(100)
+            x, y = simhash.wide_fingerprint(union), simhash.wide_fingerprint(union[len(union) // 5 :])
+            met += bool((((x ^ y) & masks) == 0).all(axis=1).any())
+        assert met >= 597, n
+    bound = simhash.wide_distance(0.8, simhash.HELD)
+    for size in (1, 2, 3, 4, 6, 10, 100):
+        fps = np.array([simhash.wide_fingerprint(np.sort(sets(size)))[: simhash.HELD] for _ in range(150)])
+        apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype="i4")
+        assert abs(apart.sum() / 150 / 149 - 32 * simhash.HELD) < 2 and (apart > bound).sum() == 150 * 149
+
+
 def test_like_documents_against_brute_force(spark):
     """Long and short texts around the threshold, and a large group of near copies: links are those of the shingle sets."""
     rng, rows = random.Random(12), []
