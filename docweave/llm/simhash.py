@@ -349,6 +349,8 @@ PART = 512
 #: 64-bit words of a wide fingerprint, those of them that buckets compare, and standard errors by which a pair at the likeness
 #: may differ more than it should.
 WIDE, HELD, ERRORS = 8, 4, 4.5
+#: Shingles from which on a set's sums are as good as normal variates.
+MANY = 64
 #: Wide fingerprints that share a bucket by chance, at most about, and how likely a pair at the likeness shares one at least.
 CROWD, MEET = 4096, 0.9995
 
@@ -434,18 +436,18 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return x.view("u1").reshape(len(x), -1)
 
 
-def differing(likeness: float) -> float:
-    """Share of bits in which the wide fingerprints of two sets of this Jaccard similarity differ, at most.
+def differing(likeness: float, shingles: int = 0) -> float:
+    """Share of bits in which the wide fingerprints of two sets of this Jaccard similarity, of ``shingles`` each or more, differ, at most.
 
     Large sets of one size and similarity s have a cosine of 2s/(1+s), those of other sizes a greater one. Of small sets, whose
     sums are no normal variates, four shingles of five differ most: 3 bits in 16.
     """
-    return max(float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), 3 / 16)
+    return max(float(np.arccos(2 * likeness / (1 + likeness)) / np.pi), 0 if shingles >= MANY else 3 / 16)
 
 
-def wide_distance(likeness: float, width: int = WIDE) -> int:
+def wide_distance(likeness: float, width: int = WIDE, shingles: int = 0) -> int:
     """Bits in which ``width`` words of two such fingerprints differ at most, but for ERRORS standard errors."""
-    bits, differs = 64 * width, differing(likeness)
+    bits, differs = 64 * width, differing(likeness, shingles)
     return int(bits * differs + ERRORS * (bits * differs * (1 - differs)) ** 0.5)
 
 
@@ -491,11 +493,11 @@ def _wide(batches):
 
 def _search_alike(likeness: float):
     """Links of rows sorted by bucket and Gray rank, as a spanning forest of what the rows' labels don't connect yet."""
-    distance = wide_distance(likeness)
+    distance, closer = wide_distance(likeness), wide_distance(likeness, shingles=MANY)
 
     def links(rows):
         node, of, words, sets = zip(*rows, strict=True)
-        node, of = np.array(node), np.array(of)
+        node, of, words, size = np.array(node), np.array(of), np.array(words, "i8").view("u8"), np.array([len(x) // 8 for x in sets])
         held: dict = {}
 
         def members(k: int) -> frozenset:
@@ -505,14 +507,16 @@ def _search_alike(likeness: float):
 
         def linked(a, b):
             out = np.zeros(len(a), bool)
-            for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                x, y = members(x), members(y)
+            least = np.minimum(size[a], size[b])
+            near = (_popcount(words[a] ^ words[b]) <= np.where(least < MANY, distance, closer)) & (least >= likeness * np.maximum(size[a], size[b]))
+            for at in np.flatnonzero(near).tolist():
+                x, y = members(int(a[at])), members(int(b[at]))
                 both = len(x & y)
                 out[at] = both >= likeness * (len(x) + len(y) - both)
             return out
 
         _, first, back = np.unique(of, return_index=True, return_inverse=True)
-        label = link_sorted(np.array(words, "i8").view("u8"), np.zeros(len(node), "i8"), distance, first[back], linked)
+        label = link_sorted(words, np.zeros(len(node), "i8"), distance, first[back], linked)
         new = np.flatnonzero(label != first[back])
         return pa.record_batch([pa.array(node[new], pa.int64()), pa.array(node[label[new]], pa.int64())], names=["u", "v"])
 

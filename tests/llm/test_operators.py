@@ -476,6 +476,23 @@ def test_the_index_prunes_no_link():
     assert 90 < most <= simhash.wide_distance(0.8) < 150
 
 
+def test_the_closer_bound_prunes_no_link():
+    """Sets of MANY shingles or more at 0.8 are within the bound that is for them, most of those at 0.5 are not."""
+    rng = np.random.default_rng(15)
+    bound, far = simhash.wide_distance(0.8, shingles=simhash.MANY), []
+    assert bound < simhash.wide_distance(0.8)
+    for n in (80, 100, 300, 900):
+        for _ in range(200):
+            union, gone = rng.integers(0, 2**63, n, dtype="u8"), int(0.2 * n)
+            cut = int(rng.integers(0, gone + 1))
+            a, b = union[cut:], np.concatenate([union[:cut], union[gone:]])
+            assert min(len(a), len(b)) >= simhash.MANY and len(np.intersect1d(a, b)) >= 0.8 * n
+            apart = lambda x, y: int(np.bitwise_count(simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)).sum())
+            assert apart(a, b) <= bound
+            far.append(apart(union[: 3 * n // 4], union[n // 4 :]))
+    assert np.mean(np.array(far) > bound) > 0.9
+
+
 def test_choices_are_complete():
     for blocks in (6, 7, 9):
         masks = simhash.choices(blocks)
