@@ -33,6 +33,8 @@ BUCKET = 256
 PAIRS, BLOCK, ROWS = 1 << 14, 1 << 10, 1 << 18
 #: Pairs that are verified between two looks at what is connected by then.
 CHUNK = 256
+#: Rows of whole buckets that are searched at once: more save no time, but take memory.
+TOGETHER = 1 << 14
 
 
 def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -216,13 +218,15 @@ def _links(distance: int, limit: int):
         new = np.append(True, bucket[1:] != bucket[:-1])
         several = ~(new & np.append(new[1:], True))
         bucket, node, fp = bucket[several], node[several], fp[several]
-        if not len(fp):
-            return None
-        ends = link_sorted(fp, bucket, distance)
-        moved = ends != np.arange(len(fp))
-        if not moved.any():
-            return None
-        return pa.record_batch([pa.array(node[moved]), pa.array(node[ends[moved]]), pa.array([False] * int(moved.sum()))], names=["u", "v", "hot"])
+        stops, begin = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(fp)), 0
+        while begin < len(fp):
+            # the buckets that end within TOGETHER rows, or the next one alone
+            end = int(stops[max(np.searchsorted(stops, begin + TOGETHER, "right") - 1, np.searchsorted(stops, begin, "right"))])
+            ends = link_sorted(fp[begin:end], bucket[begin:end], distance)
+            moved = np.flatnonzero(ends != np.arange(end - begin))
+            if len(moved):
+                yield pa.record_batch([pa.array(node[begin + moved]), pa.array(node[begin + ends[moved]]), pa.array([False] * len(moved))], names=["u", "v", "hot"])
+            begin = end
 
     def run(batches):
         held, count = [], 0  # rows of whole buckets and of the one that is still coming in
@@ -244,15 +248,14 @@ def _links(distance: int, limit: int):
             if count >= limit:
                 bucket, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[-1])  # the last bucket may go on
-                if cut and (found := edges(bucket[:cut], node[:cut], fp[:cut])) is not None:
-                    yield found
+                yield from edges(bucket[:cut], node[:cut], fp[:cut])
                 held, count = [(bucket[cut:], node[cut:], fp[cut:])], len(bucket) - cut
                 if count >= limit:
                     hot, seen, held, count = int(bucket[-1]), count, [], 0
         if hot is not None:
             yield marker(hot, seen)
-        if count and (found := edges(*(np.concatenate(x) for x in zip(*held, strict=True)))) is not None:
-            yield found
+        if count:
+            yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -351,6 +354,8 @@ PART = 512
 WIDE, HELD, ERRORS = 8, 4, 4.5
 #: Shingles from which on a set's sums are as good as normal variates.
 MANY = 64
+#: Shingles from which on a set is compared as a sorted array: a Python set of it takes ten times the memory.
+LONG = 512
 #: Wide fingerprints that share a bucket by chance, at most about, and how likely a pair at the likeness shares one at least.
 CROWD, MEET = 4096, 0.9995
 
@@ -362,10 +367,14 @@ def shingle_set(text: str, words: int = LIKE_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], "u8"))
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sets of shingle_set(), as bytes; two empty ones are alike."""
     x, y = np.frombuffer(a, "u8"), np.frombuffer(b, "u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = _common(x, y)
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
@@ -510,9 +519,9 @@ def _search_alike(likeness: float):
             least = np.minimum(size[a], size[b])
             near = (_popcount(words[a] ^ words[b]) <= np.where(least < MANY, distance, closer)) & (least >= likeness * np.maximum(size[a], size[b]))
             for at in np.flatnonzero(near).tolist():
-                x, y = members(int(a[at])), members(int(b[at]))
-                both = len(x & y)
-                out[at] = both >= likeness * (len(x) + len(y) - both)
+                x, y = int(a[at]), int(b[at])
+                both = len(members(x) & members(y)) if max(size[x], size[y]) < LONG else _common(np.frombuffer(sets[x], "u8"), np.frombuffer(sets[y], "u8"))
+                out[at] = both >= likeness * (size[x] + size[y] - both)
             return out
 
         _, first, back = np.unique(of, return_index=True, return_inverse=True)

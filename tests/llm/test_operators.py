@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -516,6 +518,47 @@ def test_hot_buckets_are_split(spark):
     assert whole == cut and len(set(whole.values())) >= 3
 
 
+def test_a_task_searches_few_buckets_at_once(monkeypatch):
+    """Whole buckets are searched in runs of bounded length, a longer bucket alone; links are those of each bucket."""
+    rng, sizes = np.random.default_rng(15), [1, 1, *[700] * 50, 17_000, 3, 1, 900]
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    fp = rng.integers(0, 2**16, (len(bucket), 1), dtype="u8") << np.uint64(20)
+    order = np.lexsort([gray(fp[:, 0]), bucket])
+    fp, node = fp[order], rng.permutation(len(bucket))
+    want = []
+    for k in range(len(sizes)):
+        own = np.flatnonzero(bucket == k)
+        ends = simhash.link_sorted(fp[own], bucket[own], 1)
+        want += [(int(node[own[i]]), int(node[own[e]])) for i, e in enumerate(ends) if i != e]
+    real, calls = simhash.link_sorted, []
+    monkeypatch.setattr(simhash, "link_sorted", lambda f, b, *more: calls.append(np.unique(b, return_counts=True)[1]) or real(f, b, *more))
+    rows = [pa.record_batch([pa.array(x[k : k + 5000]) for x in (bucket, node, fp[:, 0].view("i8"))], names=["bucket", "node", "w0"]) for k in range(0, len(bucket), 5000)]
+    got = [(u, v) for batch in simhash._links(1, 1 << 18)(iter(rows)) for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True)]
+    assert sorted(got) == sorted(want) and len(got) > 1000
+    assert all(len(c) == 1 or c.sum() <= 1 << 14 for c in calls) and sum(c.sum() for c in calls) == sum(s for s in sizes if s > 1)
+
+
+def test_long_sets_are_compared_in_little_memory():
+    """Sets of 8000 shingles, two of each alike by 0.9 and all within the index's bound: pairs are linked, no Python sets are held."""
+    rng = np.random.default_rng(16)
+    shared, sets = rng.integers(0, 2**63, 6400, dtype="u8"), []
+    for _ in range(20):
+        own = rng.integers(0, 2**63, 1600, dtype="u8")
+        sets += [np.sort(np.append(shared, own)), np.sort(np.concatenate([shared, own[:-400], rng.integers(0, 2**63, 400, dtype="u8")]))]
+    words = np.array([simhash.wide_fingerprint(x) for x in sets]).view("i8")
+    assert (np.bitwise_count((words[0] ^ words).view("u8")).sum(axis=1, dtype="i4") <= simhash.wide_distance(0.8, shingles=simhash.MANY)).sum() > 20
+    node = np.arange(40)
+    rows = pa.record_batch([pa.array(node * 0), pa.array(node), pa.array(node), *(pa.array(words[:, k]) for k in range(simhash.WIDE)), pa.array([x.tobytes() for x in sets])], names=["bucket", "node", "of", *simhash.WORDS_OF, "shingles"])
+    tracemalloc.start()
+    try:
+        found = next(simhash._search_alike(0.8)(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(found["v"].to_pylist(), found["u"].to_pylist(), strict=True)) == [(2 * k, 2 * k + 1) for k in range(20)]
+    assert peak < 12e6
+
+
 def test_components(spark):
     rng, edges = random.Random(9), []
     for c in range(40):
