@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.session import prepare, remove, scratch, shared_dir
 
-__all__ = ["NO_ID", "drop_scratch", "heavy_from", "id_back", "id_key", "lookup", "packed", "partitions", "pick_rows", "scratch", "session", "shared_dir", "table", "texts", "unpacked", "whole_row"]
+__all__ = ["NO_ID", "drop_scratch", "few_files", "heavy_from", "id_back", "id_key", "lookup", "packed", "partitions", "pick_rows", "scratch", "session", "shared_dir", "table", "texts", "unpacked", "whole_row"]
 
 #: Stands for a null id in comparisons: a null id sorts after every other one.
 NO_ID = 2**63 - 1
@@ -15,6 +15,8 @@ NO_ID = 2**63 - 1
 HEAVY_PARTS = 1024
 #: In large tables so many rows make a key heavy already, as long as no more than MOST_HEAVY keys can have them.
 HEAVY_ROWS, MOST_HEAVY = 1 << 20, 1 << 17
+#: Rows of a few longs that are worth a file, and a task, of their own.
+FILE_ROWS = 1 << 13
 #: Rows in an Arrow batch: long texts must not add up in a Python worker.
 BATCH_ROWS = 512
 
@@ -80,6 +82,14 @@ def drop_scratch(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` rows at most, each a few longs, whose last shuffle spreads them evenly: written in no more tasks than they are worth.
+
+    Every file costs a local file system three processes for its permissions, which outweighs a few rows. Only the tasks after the last
+    shuffle get fewer, and of more than FILE_ROWS rows a partition none."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def heavy_from(total: int) -> int:
     """Rows that make a key heavy: at most MOST_HEAVY keys (HEAVY_PARTS, up to HEAVY_PARTS * HEAVY_ROWS rows) can have so many of
     ``total`` rows."""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, id_back, id_key, lookup, partitions, pick_rows, scratch, session, texts
+from .common import drop_scratch, few_files, id_back, id_key, lookup, partitions, pick_rows, scratch, session, texts
 from .components import components
 from .fingerprints import shingle_spans
 
@@ -311,13 +311,14 @@ def link_fingerprints(fps: DataFrame, masks: list[list[int]], distance: int, lim
 
 def _group(rows: DataFrame, words: list[str], masks, distance: int) -> DataFrame:
     """rows: doc_id, node, words. Adds size (rows of the node) and first (least id key of the component)."""
-    groups = scratch(rows.groupBy("node", *words).agg(F.min(id_key()).alias("least"), F.count(F.lit(1)).alias("size")), "groups")
+    total = rows.count()
+    groups = scratch(few_files(rows.groupBy("node", *words).agg(F.min(id_key()).alias("least"), F.count(F.lit(1)).alias("size")), total), "groups")
     found = components(link_fingerprints(groups.select("node", *words), masks(groups.count()), distance))
     rooted = groups.join(found.withColumnRenamed("u", "node"), "node", "left").select("node", "least", "size", F.coalesce("m", "node").alias("root"))
     # equal documents are one row by now, and minima are combined before the shuffle
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = scratch(rooted.join(first, "root").select("node", "size", "first"), "named")
-    return lookup(rows, named, "node", "size", rows.count())
+    return lookup(rows, named, "node", "size", total)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
@@ -599,7 +600,8 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
     made = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("version"))
     rows = scratch(made.mapInArrow(_noted(words), "doc_id long, version long, node long, " + ", ".join(f"{w} long" for w in WORDS_OF)), "fingerprints")
     own = F.min(F.struct(id_key().alias("key"), "version")).alias("own")
-    groups = scratch(rows.groupBy("node").agg(own, F.count(F.lit(1)).alias("size"), *(F.min(w).alias(w) for w in WORDS_OF)), "groups")
+    total = rows.count()
+    groups = scratch(few_files(rows.groupBy("node").agg(own, F.count(F.lit(1)).alias("size"), *(F.min(w).alias(w) for w in WORDS_OF)), total), "groups")
     near = link_fingerprints(groups.select("node", *WORDS_OF), samples(groups.count(), likeness), wide_distance(likeness, HELD), width=HELD)
     shared = components(near).select(F.col("m").alias("bucket"), F.col("u").alias("node"))
     drop_scratch(near)
@@ -614,7 +616,7 @@ def like_documents(docs: DataFrame, words: int = LIKE_WORDS, likeness: float = L
         rooted = rooted.drop("root").join(label.withColumnRenamed("u", "node"), "node", "left").select("node", "size", "least", F.coalesce("m", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     named = scratch(rooted.join(first, "root").select("node", "size", "first", "root"), "named")
-    found = lookup(rows.select("doc_id", "version", "node"), named, "node", "size", rows.count())
+    found = lookup(rows.select("doc_id", "version", "node"), named, "node", "size", total)
     return found.select("doc_id", "version", "first", "root", id_back("first", "component_id"))
 
 

@@ -571,6 +571,33 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
+def test_components_write_no_file_a_partition(spark, monkeypatch):
+    """Few pairs are few files, however many partitions there are, and pairs that are stars by now need no further round."""
+    files = []
+
+    def noted(df, name):
+        done = common.scratch(df, name)
+        files.append(len(done.inputFiles()))
+        return done
+
+    monkeypatch.setattr(components, "scratch", noted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        stars = spark.createDataFrame([(1000 * c + k, 1000 * c) for c in range(40) for k in range(1, 9)] * 2, "u long, v long")
+        got = {(r["u"], r["m"]) for r in components.components(stars).collect()}
+        assert got == {(1000 * c + k, 1000 * c) for c in range(40) for k in range(9)}
+        assert files == [1]
+        paths = spark.createDataFrame([(100 * c + k, 100 * c + k + 1) for c in range(1000) for k in range(9)], "u long, v long")
+        got = {(r["u"], r["m"]) for r in components.components(paths).collect()}
+        assert got == {(100 * c + k, 100 * c) for c in range(1000) for k in range(10)}
+        assert len(files) > 2 and max(files) == 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_first(docs, rows):
     got = simhash.keep_first(docs)
     ids = [r["doc_id"] for r in got.collect()]
