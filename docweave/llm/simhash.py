@@ -313,11 +313,13 @@ def _group(rows: DataFrame, words: list[str], masks, distance: int) -> DataFrame
     """rows: doc_id, node, words. Adds size (rows of the node) and first (least id key of the component)."""
     total = rows.count()
     groups = scratch(few_files(rows.groupBy("node", *words).agg(F.min(id_key()).alias("least"), F.count(F.lit(1)).alias("size")), total), "groups")
-    found = components(link_fingerprints(groups.select("node", *words), masks(groups.count()), distance))
-    rooted = groups.join(found.withColumnRenamed("u", "node"), "node", "left").select("node", "least", "size", F.coalesce("m", "node").alias("root"))
-    # equal documents are one row by now, and minima are combined before the shuffle
-    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = scratch(rooted.join(first, "root").select("node", "size", "first"), "named")
+    count = groups.count()
+    found = components(link_fingerprints(groups.select("node", *words), masks(count), distance))
+    # only linked nodes meet by their component, of which one may be huge; minima are combined before the shuffle
+    linked = found.join(groups.select(F.col("node").alias("u"), "least"), "u")
+    first = linked.join(linked.groupBy("m").agg(F.min("least").alias("first")), "m").select(F.col("u").alias("node"), "first")
+    named = groups.join(first, "node", "left").select("node", "size", F.coalesce("first", "least").alias("first"))
+    named = scratch(few_files(named, count), "named")
     return lookup(rows, named, "node", "size", total)
 
 
